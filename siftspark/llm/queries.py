@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, quality_cascade
+from . import chat_format, line_dedup, packing, quality_cascade, token_store
 from ._shared import table
 
 #: The conversation that the formatting query adds to the table: control strings of the template as user text.
 PROBE = (-7, r"\### Assistant: </turn> ok")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_report(token_store.round_trip(table(spark, sf_dir, "documents")))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(PROBE[0], 0, "user", PROBE[1]), (PROBE[0], 1, "assistant", PROBE[1])], rows.schema)
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe)))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_report(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_ids": op4_token_ids,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_packing": op6_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
