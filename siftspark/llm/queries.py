@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, packing, quality_cascade, token_store
+from . import chat_format, line_dedup, near_dedup, packing, quality_cascade, token_store
 from ._shared import table
 
 #: The conversation that the formatting query adds to the table: control strings of the template as user text.
 PROBE = (-7, r"\### Assistant: </turn> ok")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_report(token_store.round_trip(table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_token_ids": op4_token_ids,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
