@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, near_dedup, packing, quality_cascade, token_store
+from . import chat_format, decontaminate, line_dedup, near_dedup, packing, quality_cascade, secret_scan, token_store
 from ._shared import table
 
 #: The conversation that the formatting query adds to the table: control strings of the template as user text.
@@ -31,6 +31,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_report(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and each benchmark item that it holds; clean documents have none."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -39,13 +44,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_token_ids": op4_token_ids,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
