@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, packing, quality_cascade, secret_scan, token_store
+from . import chat_format, decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, quality_cascade, secret_scan, token_store
 from ._shared import table
 
 #: The conversation that the formatting query adds to the table: control strings of the template as user text.
 PROBE = (-7, r"\### Assistant: </turn> ok")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.page_report(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
     "op3_near_dedup": op3_near_dedup,
     "op4_token_ids": op4_token_ids,
