@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import retrieval
+
+_FAMILIES = (retrieval,)
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
 FLAGSHIP = "w01_bm25_topk"
