@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, retrieval
+from .plans import corpus, evaluation, retrieval
 
-_FAMILIES = (retrieval, evaluation)
+_FAMILIES = (retrieval, evaluation, corpus)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
 FLAGSHIP = "w01_bm25_topk"

@@ -15,7 +15,8 @@ MARKER = r"\[(C[1-9][0-9]*)\]"
 HEADING_ONLY = r"\A#{1,6}\s+\S[^\n]*\z"
 CHUNK_ID = r"\A(?<doc>[a-z0-9]+-[0-9]{3})-sec-(?<sec>[0-9]{3})-ch-(?<ch>[0-9]{3})\z"
 SHORT_TOKENS = 32
-STOP_WORDS = ("a an and are as at be by can do does for from how if in into is it its of on or that the then there these this to used use was what when where which who why with").split()
+EVIDENCE_TOKEN = r"[A-Za-z][A-Za-z0-9_-]*|[0-9]+"
+STOP_WORDS = "a an the and or how what which who why where when is are was were be been being of for on in as at to from by with it its these those this that can could would should do does did you your our does not means into than through their them each all every using use used about without while if such set field fields kubernetes pod pods cluster".split()
 
 
 def tokens(text: Column) -> Column:
@@ -105,8 +106,8 @@ def canonical_json(**fields: Column) -> Column:
 
 def evidence_tokens(text: Column) -> Column:
     """Different lower-case words of two letters or more, camelCase and ``_ -`` split, stop words left out."""
-    split = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
-    words = F.transform(F.regexp_extract_all(split, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    items = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EVIDENCE_TOKEN), F.lit(0))
+    words = F.flatten(F.transform(items, lambda x: F.split(F.lower(F.translate(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2"), "_-", "  ")), " +")))
     return F.array_distinct(F.filter(words, lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS)))
 
 
@@ -128,7 +129,7 @@ def csv_safe(value: Column) -> Column:
 
 def size_text(n: Column) -> Column:
     """Bytes as B, KB or MB."""
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / (1024 * 1024), 1)))
 
 
 def prepared_query(text: Column, prefix: str = "") -> Column:
