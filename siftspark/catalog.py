@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus, evaluation, evidence, retrieval
+from .plans import corpus, evaluation, evidence, planning, retrieval
 
-_FAMILIES = (retrieval, evaluation, corpus, evidence)
+_FAMILIES = (retrieval, evaluation, corpus, evidence, planning)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
 FLAGSHIP = "w01_bm25_topk"
