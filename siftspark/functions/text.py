@@ -138,12 +138,15 @@ def prepared_query(text: Column, prefix: str = "") -> Column:
     return F.when(t == "", F.raise_error(F.lit("a query must have text")).cast("string")).otherwise(F.concat(F.lit(prefix), t))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no expression for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC; Spark has no expression for it."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
 def tidy(text: Column) -> Column:
     """P9 without NFC: line ends, blanks before line ends, at most one empty line."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
