@@ -8,11 +8,13 @@ rounds at most; a coordinate keeps the least (round, value). Coordinates agree w
 similarity and concentrate like independent ones. ``BINS / ROWS`` bands of ROWS coordinates make the candidates: at 0.75 a
 pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
-Candidates in a bucket are first compared with the bucket's hub, its least class. Verified links join into components
-(least label with pointer jumping, distributed, every step written to the shared folder). Only classes that share a
-bucket and are still in different components are then compared with each other, after a check that their sketches agree
-in at least half of the coordinates (at 0.75 a miss is a deviation of over six standard deviations). Links are confirmed on
-the full shingle sets, recounted from the texts; hashes never decide. A group of m copies so costs about m comparisons.
+Candidates in a bucket are first compared with the bucket's hubs: its ``HUBS`` classes that share buckets with most others, so
+that the text which near copies were made from is likely among them. Verified links join into components (least label with
+pointer jumping, distributed, every step written to the shared folder). Only classes that share a bucket and are still in
+different components are then compared with each other. Two exact bounds keep that from growing with the square of a group: sizes,
+and in crowded buckets the shingles of a class that any class of another component has at all, as no intersection is larger.
+A longer sketch must agree well enough too (``FAR_BITS``). Links are confirmed on the full shingle sets, recounted from the
+texts; hashes never decide. A group of m copies so costs about HUBS * m comparisons.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; repeated rows are copies of each
 other; rows that repeat a doc_id with other text are nodes of their own; component_id is the least doc_id reachable
@@ -27,17 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import ascii_lower_bytes, durable, ship_package
 
 WORDS, BINS, ROWS = 5, 128, 4
+#: Classes of a bucket that all its members are compared with, and members from which a bucket is crowded (another way to the
+#: same pairs, not a cap).
+HUBS, CROWDED = 3, 16
+#: In the second stage classes are told apart by the last bits of LONG coordinates. Two sets of similarity 0.75 differ in 128 of 1024
+#: bits on average, with a standard deviation of 10.6; in more than FAR_BITS with a probability of about 1e-6.
+LONG, FAR_BITS = 1024, 181
 #: Link where 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-SKETCHES = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, brief binary"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("brief", pa.binary())])
+SKETCHES = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _ROWS_OUT = 2000
 
 
@@ -54,19 +62,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * _GOLD)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """BINS coordinates of a non-empty set of 64-bit hashes. Earlier rounds win, so rounds may go in blocks."""
-    out = np.full(BINS, _EMPTY, np.uint64)
-    step = max(1, -(-6 * BINS // len(hashes)))
-    for i in range(0, 2 * BINS, step):
-        rounds = np.arange(i, min(i + step, 2 * BINS))
-        thrown = _mix(hashes[None, :] ^ _SEEDS[rounds][:, None])
-        bins = np.where(rounds[:, None] < BINS, (thrown & np.uint64(BINS - 1)).astype(np.int64), rounds[:, None] - BINS)
-        np.minimum.at(out, bins.ravel(), (rounds.astype(np.uint64)[:, None] << np.uint64(56) | thrown >> np.uint64(8)).ravel())
+def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The coordinates of a non-empty set of 64-bit hashes; bins is a power of two. Earlier rounds win, so rounds may go in blocks."""
+    out = np.full(bins, _EMPTY, np.uint64)
+    step = max(1, -(-6 * bins // len(hashes)))
+    for i in range(0, 2 * bins, step):
+        rounds = np.arange(i, min(i + step, 2 * bins))
+        seeds = _mix((rounds + 1).astype(np.uint64) * _GOLD)
+        thrown = _mix(hashes[None, :] ^ seeds[:, None])
+        at = np.where(rounds[:, None] < bins, (thrown & np.uint64(bins - 1)).astype(np.int64), rounds[:, None] - bins)
+        np.minimum.at(out, at.ravel(), (rounds.astype(np.uint64)[:, None] << np.uint64(52) | thrown >> np.uint64(12)).ravel())
         if (out != _EMPTY).all():
             break
     return out
@@ -90,11 +98,10 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text_hash, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 own = shingle_set(text.as_py())
                 if not own:
-                    rows.append((doc, text_hash, 0, None, None, None))
+                    rows.append((doc, text_hash, 0, None, None))
                     continue
                 hashes = np.sort(np.fromiter(map(digest, own), np.uint64, len(own)))
-                s = sketch(hashes)
-                rows.append((doc, text_hash, len(own), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(s), (s & np.uint64(255)).astype(np.uint8).tobytes()))
+                rows.append((doc, text_hash, len(own), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(sketch(hashes))))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
@@ -118,23 +125,65 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
 
 
-def _near_length() -> object:
+def _near_length() -> Column:
     """What two sets of these sizes need to reach the similarity at all."""
     return 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links. Each text is fetched for the classes in pairs alone."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _tokenizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows cls, root, text; a row for each shingle."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for cls, root, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+            own = np.fromiter(map(digest, shingle_set(text.as_py())), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([cls.as_py()] * len(own), pa.int64()), pa.array([root.as_py()] * len(own), pa.int64()), pa.array(own)], names=["c", "r", "token"])
+
+
+def _near_cross() -> Column:
+    """No intersection is larger than what either has in common with other components at all."""
+    most = F.least("cross_a", "cross_b")
+    return 100 * most >= SIMILARITY * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _near_bits() -> Column:
+    return sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(LONG // 64)), F.lit(0)) <= FAR_BITS
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows cls, text; the last bits of a long sketch in LONG / 64 columns."""
+    digest = xxhash.xxh3_64_intdigest
+    names = [f"x{k}" for k in range(LONG // 64)]
+    for batch in batches:
+        rows = [np.packbits((sketch(np.fromiter(map(digest, shingle_set(t.as_py())), np.uint64), LONG) & np.uint64(1)).astype(np.uint8)).view(np.int64) for t in batch.column(1)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.stack(rows).T.copy())], names=["cls", *names])
+
+
+def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls, text of the wanted classes: the text of each one's least document."""
     where = classes.join(wanted, "cls", "left_semi").select("cls", "rep.doc_id", "rep.text_hash")
     keyed = where.select("cls", F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "text_hash")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "text").join(keyed, ["d", "no_id", "text_hash"])
-    texts = durable(texts.groupBy("cls").agg(F.first("text").alias("text")), "near-texts")
+    return durable(texts.groupBy("cls").agg(F.first("text").alias("text")), "near-texts")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links. Each text is fetched for the classes in pairs alone."""
+    texts = class_texts(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, docs)
     with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier, "a binary, b binary").distinct()
 
 
+def crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls, cross: how many shingles of each class in crowd (cls, root) some class of another root in crowd has too."""
+    rows = crowd.join(texts, "cls").select(F.xxhash64("cls").alias("c"), F.xxhash64("root").alias("r"), "text")
+    tokens = rows.mapInArrow(_tokenizer, "c long, r long, token long")
+    shared = tokens.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
+    counts = tokens.join(shared, "token").groupBy("c").agg(F.count("*").alias("cross"))
+    return crowd.join(counts, F.xxhash64("cls") == F.col("c"), "left").select("cls", F.coalesce("cross", F.lit(0)).alias("cross"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, root) for every class in links: root is the least class that can be reached."""
     edges = durable(links.union(links.select("b", "a")).toDF("src", "dst"), "near-edges")
@@ -155,27 +204,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _prepared(docs, id_col, text_col)
     sketches = durable(rows.mapInArrow(_sketcher, SKETCHES), "near-sketches")
     classes = durable(
-        sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief")),
+        sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "near-classes",
     )
     banded = classes.select(F.explode("bands").alias("key"), "cls", "n")
-    hubs = banded.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
-    members = durable(banded.join(hubs, "key"), "near-members")
-    stars = members.where(F.col("cls") != F.col("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    stars = durable(stars.where(_near_length()).select("a", "b"), "near-stars")
+    crowds = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = durable(banded.join(crowds, "key"), "near-members")
+    weights = members.groupBy("cls").agg(F.sum("c").alias("w"))
+    central = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "cls"))
+    hubs = members.join(weights, "cls").select("key", "cls", "n", "w").withColumn("place", central).where(F.col("place") <= HUBS).select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
+    stars = members.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b")).join(hubs, "key").where((F.col("a") != F.col("b")) & _near_length())
+    stars = durable(stars.select("a", "b").distinct(), "near-stars")
     links = durable(verify(stars, classes, rows), "near-links")
     labels = components(links)
 
     # Buckets whose members are not all in one component: compare across components what hasn't been compared.
-    placed = members.select("key", "cls", "n").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = members.join(labels, "cls", "left").select("key", "cls", "n", "c", F.coalesce("root", "cls").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("key")
     rest = durable(placed.join(mixed, "key"), "near-rest")
-    left, right = rest.select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), rest.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near_length()).select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    brief = classes.select("cls", "brief")
-    likely = across.join(brief.toDF("a", "brief_a"), "a").join(brief.toDF("b", "brief_b"), "b").where(_agreeing("brief_a", "brief_b") * 2 >= BINS)
-    likely = durable(likely.select("a", "b"), "near-across")
+    texts = class_texts(rest.select("cls").distinct(), classes, rows)
+    bits = durable(texts.mapInArrow(_bits, "cls binary, " + ", ".join(f"x{k} long" for k in range(LONG // 64))), "near-bits")
+    crowd = durable(rest.where(F.col("c") >= CROWDED).select("cls", "root").distinct(), "near-crowd")
+    bound = durable(crossing(crowd, texts), "near-bound")
+    near = rest.join(bound, "cls", "left").withColumn("cross", F.coalesce("cross", "n")).where(F.col("cross") * 100 >= SIMILARITY * F.col("n")).join(bits, "cls").join(classes.select("cls", "bands"), "cls")
+    side = lambda x: near.select("key", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in near.columns if c not in ("key", "cls", "c")])
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near_length() & _near_cross() & _near_bits()
+    # A pair that shares several buckets comes from the least of them alone.
+    once = F.col("key") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    across = side("a").join(side("b"), "key").where(apart & once).select("a", "b")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    likely = durable(across.join(tested, ["a", "b"], "left_anti"), "near-across")
     more = durable(verify(likely, classes, rows), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
@@ -188,12 +246,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _agreeing(a: str, b: str):
-    """Coordinates whose last eight bits agree, counted over two binary columns."""
-    pairs = F.zip_with(F.split(F.hex(a), "(?<=\\G..)"), F.split(F.hex(b), "(?<=\\G..)"), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: of each group the one with the least doc_id."""
     found = near_components(docs, id_col, text_col)
