@@ -49,7 +49,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_cascade.quality_report(table(spark, sf_dir, "documents"))
+    """Without rejected_by, which depends on the order that the estimates give."""
+    return quality_cascade.quality_report(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +96,21 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op9_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+grams AS (SELECT doc_id, i, words[i:i + 4] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+marked AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest(range(5)) AS o) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) AS letter_words
+  FROM w LEFT JOIN marked USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= 3 * n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+       AND NOT (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) AND 2 * letter_words >= n_words AS kept
+FROM b""",
 }
