@@ -186,7 +186,10 @@ def crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, root) for every class in links: root is the least class that can be reached."""
-    edges = durable(links.union(links.select("b", "a")).toDF("src", "dst"), "near-edges")
+    # A class that links to several hubs ties them all to the least: about an edge a class is left to pass labels along.
+    tied = links.join(links.groupBy("b").agg(F.min("a").alias("m")), "b").select("a", "b", F.least("b", "m").alias("m"))
+    forest = durable(tied.select("b", "m").union(tied.select("a", "m")).toDF("src", "dst").where("src <> dst").distinct(), "near-forest")
+    edges = durable(forest.union(forest.select("dst", "src")), "near-edges")
     labels = durable(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("cls"), F.least("src", "m").alias("root")), "near-labels")
     while True:
         near = edges.join(labels, F.col("dst") == F.col("cls")).groupBy("src").agg(F.min("root").alias("m"))
