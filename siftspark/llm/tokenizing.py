@@ -18,12 +18,14 @@ from collections.abc import Callable, Iterable
 import regex
 
 #: Parts and pre-tokens that a worker remembers, at about 200 bytes each.
-CACHE_PARTS, CACHE_PRETOKENS = 300_000, 300_000
+CACHE_PARTS, CACHE_PRETOKENS = 400_000, 500_000
 #: The Unicode property White_Space.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PARTS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Where cutting before every single space could cut a run of white space in the wrong place.
-_RUNS = re.compile(f"[{_SPACE}]{{3}}|[{_SPACE}]{{2}}$")
+#: Cutting before every single space is right where spaces and line breaks stand alone and no other white space is there.
+_RUNS = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: Marks that, alone behind a word, are a pre-token of their own.
+_MARKS = frozenset(".,;:!?)")
 #: A word, perhaps after a line break, perhaps with marks behind it: up to three pre-tokens. An apostrophe may begin a contraction, so it isn't here.
 _WORD = regex.compile(r"([\n\t\r]?)( ?\p{L}+)([^\s\p{L}\p{N}'\x1c-\x1f]*)")
 
@@ -69,7 +71,7 @@ class PartEncoder:
         self._letters = _byte_letters()
         self._pretoken = _Remembered(self._ask_model, CACHE_PRETOKENS).__getitem__
         self._piece = _Remembered(self._ask, CACHE_PARTS // 4).__getitem__
-        self._after_space = _Remembered(lambda word: self._ask(" " + word), CACHE_PARTS).__getitem__
+        self._after_space = _Remembered(self._ask_spaced, CACHE_PARTS).__getitem__
         plain = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self._direct = plain and self._whole("Ab é-x") == b"".join(map(self._pretoken, ("Ab", " é", "-", "x")))
 
@@ -77,9 +79,21 @@ class PartEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ask_model(self, word: str) -> bytes:
-        shown = word.encode("utf-8").decode("latin-1").translate(self._letters)
+        if word.isascii() and word[1:].isalpha():
+            shown = word.replace(" ", "\u0120")
+        else:
+            shown = word.encode("utf-8").decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
+    def _ask_spaced(self, word: str) -> bytes:
+        """The ids of a word behind one space; letters with at most one mark go the short way."""
+        if self._direct:
+            if word.isalpha():
+                return self._pretoken(" " + word)
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return self._pretoken(" " + word[:-1]) + self._pretoken(word[-1])
+        return self._ask(" " + word)
+
     def _ask(self, part: str) -> bytes:
         m = _WORD.fullmatch(part) if self._direct else None
         if m:
@@ -91,7 +105,7 @@ class PartEncoder:
         """The ids of a text; a null or empty text has none."""
         if not text:
             return b""
-        if _RUNS.search(text):
+        if any(x in text for x in _RUNS):
             return b"".join(map(self._piece, _PARTS.findall(text)))
         first, *rest = text.split(" ")
         return (self._piece(first) if first else b"") + b"".join(map(self._after_space, rest))
