@@ -3,8 +3,9 @@
 A page becomes a small DOM tree: block elements are nodes named by tag and class, inline markup belongs to the text around
 it, and repeated siblings (paragraphs, list items) share one node, as a wrapper's lists do. For each host the most frequent
 tree is the wrapper's frame. Every other tree of the host is aligned with it by simple tree matching, which gives each
-node a slot. Over all pages of the host, a slot whose content is the same on nearly every page is constant: template. The
-slots that vary are content. Where elements say what they are, that is heeded as well: navigation, footers, forms,
+node a slot. Pages with the same tree and content count as one. A content that a slot has on nearly every page that has the
+slot, and on nearly every page of the host, is constant: template, and left out where a page has that very content in that
+slot. All else is content. Where elements say what they are, that is heeded as well: navigation, footers, forms,
 scripts, comments, adverts and the like are no content although they vary, and an article or main element bounds it.
 
 Statistics are grouped by host, slot and content hash before anything is gathered by host, so a host with a third of all
@@ -12,15 +13,15 @@ pages is spread over all tasks; the frames and constant slots of the hosts are o
 (statistics, text) and their html moves only if the hosts' rows are too many to broadcast.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do in the main (open elements end
-with their parent, a comment without end takes the rest); a page whose slots are all constant, as where a host has copies
-of one page alone, keeps its article; a host with fewer than ``MIN_PAGES`` pages, and a url without a host, has no constant
-slots; repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
+with their parent, a comment without end takes the rest); a page whose slots are all constant keeps its article; a host with
+fewer than ``MIN_PAGES`` different pages, and a url without a host, has no constant slots; repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ._shared import durable, ship_package
 
-MIN_PAGES, CONSTANT_SHARE = 4, 0.9
+MIN_PAGES = 4
+#: The share of the pages with a slot, and of all pages of the host, that constant content is on.
+CONSTANT_SHARE, HOST_SHARE = 0.9, 0.8
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -238,7 +241,7 @@ def tree_match(a: str, b: str) -> dict[int, int]:
 
 
 def slots(skeleton: str, frame: str) -> list[str]:
-    """The slot of each node: its node of the frame, or its own path where the frame has none."""
+    """The slot of each node: its node of the frame, or its own path where the frame has none, numbered where it repeats."""
     to = tree_match(skeleton, frame)
     labels, children = read_skeleton(skeleton)
     path = [""] * len(labels)
@@ -246,7 +249,15 @@ def slots(skeleton: str, frame: str) -> list[str]:
         path[k] += "/" + label
         for c in children[k]:
             path[c] = path[k]
-    return [f"#{to[k]}" if k in to else path[k] for k in range(len(labels))]
+    seen: Counter[str] = Counter()
+    out = []
+    for k in range(len(labels)):
+        if k in to:
+            out.append(f"#{to[k]}")
+        else:
+            seen[path[k]] += 1
+            out.append(path[k] if seen[path[k]] == 1 else f"{path[k]} {seen[path[k]]}")
+    return out
 
 
 # -- the distributed part ---------------------------------------------------------------------------------------------
@@ -283,7 +294,7 @@ def _extract(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
                         known.clear()
                     known[key] = slots(*key)
                 gone = set(constant)
-                drop = {k for k, s in zip(p.preorder(), known[key], strict=True) if s in gone}
+                drop = {k for k, s, h in zip(p.preorder(), known[key], p.hashes(), strict=True) if f"{h} {s}" in gone}
             out.append(p.text(drop))
         yield pd.Series(out, dtype=object)
 
@@ -294,18 +305,19 @@ def host_of(url: Column) -> Column:
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, frame, constant): a row per host with its frame and the slots that are constant on its pages."""
+    """(host, frame, constant): a row per host with its frame and what is constant on its pages, as content hash and slot."""
     ship_package(pages.sparkSession)
-    seen = durable(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(F.col("host").isNotNull()).mapInArrow(_survey, "host string, skeleton string, hashes array<long>"), "html-survey")
+    seen = durable(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(F.col("host").isNotNull()).mapInArrow(_survey, "host string, skeleton string, hashes array<long>").distinct(), "html-survey")
     forms = seen.groupBy("host", "skeleton").count()
-    frames = durable(forms.groupBy("host").agg(F.max(F.struct("count", "skeleton")).alias("m")).select("host", F.col("m.skeleton").alias("frame")), "html-frames")
-    aligned = durable(forms.select("host", "skeleton").join(frames, "host").mapInPandas(_align, "host string, skeleton string, slots array<string>"), "html-slots")
+    frames = durable(forms.groupBy("host").agg(F.max(F.struct("count", "skeleton")).alias("m"), F.sum("count").alias("host_pages")).select("host", F.col("m.skeleton").alias("frame"), "host_pages"), "html-frames")
+    aligned = durable(forms.select("host", "skeleton").join(frames.select("host", "frame"), "host").mapInPandas(_align, "host string, skeleton string, slots array<string>"), "html-slots")
     cells = seen.select("host", "skeleton", F.posexplode("hashes").alias("pos", "hash")).where(F.col("hash").isNotNull()).groupBy("host", "skeleton", "pos", "hash").count()
     placed = cells.join(aligned.select("host", "skeleton", F.posexplode("slots").alias("pos", "slot")), ["host", "skeleton", "pos"])
     by_content = placed.groupBy("host", "slot", "hash").agg(F.sum("count").alias("n"))
-    by_slot = by_content.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
-    constant = by_slot.where((F.col("pages") >= MIN_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
-    return durable(frames.join(constant.groupBy("host").agg(F.collect_list("slot").alias("constant")), "host"), "html-wrappers")
+    by_slot = by_content.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "hash")).alias("most"))
+    common = by_slot.where((F.col("pages") >= MIN_PAGES) & (F.col("most.n") >= CONSTANT_SHARE * F.col("pages"))).join(frames.select("host", "host_pages"), "host")
+    constant = common.where(F.col("most.n") >= HOST_SHARE * F.col("host_pages")).groupBy("host").agg(F.collect_list(F.concat_ws(" ", "most.hash", "slot")).alias("constant"))
+    return durable(frames.select("host", "frame").join(constant, "host"), "html-wrappers")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -128,6 +128,23 @@ def test_html_main_text(spark):
     assert html_extract.page_report(pages.limit(0)).count() == 0
 
 
+def test_html_copies_and_small_groups_show_no_template(spark):
+    """Copies count once, a slot must be constant on the host, and a page loses only the very content that is constant."""
+    page = "<body><div class=top>{1}</div><article><p>Text {0}</p>{2}</article></body>"
+    table, heading = "<table><tr><td>Figures</td></tr></table>", "<h2>References</h2>"
+    rows = [("copies", page.format("copied", "Site", table))] * 6 + [("copies", page.format(i, "Site", "")) for i in range(10)]
+    rows += [("few", page.format(i, "Site", heading if i < 4 else "")) for i in range(40)]
+    rows += [("most", page.format("copied", "Site", heading))] * 36 + [("most", page.format(i, "Site", "<h2>Own</h2>")) for i in range(4)]
+    bare = "<body><div class=top>{1}</div><p>Text {0}</p></body>"
+    rows += [("other", bare.format(i, "Site" if i else "Not the site")) for i in range(20)]
+    twice = "<body><article><p>Text {0}</p>{1}</article></body>"
+    rows += [("twice", twice.format(i, "<h2>A</h2><p>-</p><h2>A</h2>" * (i < 5))) for i in range(11)]
+    pages = spark.createDataFrame([(i, f"http://{h}.example/{i}", t) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.page_report(pages).collect()}
+    for i, (_, t) in enumerate(rows):
+        assert got[i] == " ".join(re.sub("<[^>]*>", " ", t.replace(">Site<", "><")).split())
+
+
 def test_tree_matching_keeps_order():
     assert html_extract.tree_match("0 a\n1 b\n1 c\n2 d", "0 a\n1 c\n2 d\n1 b") == {0: 0, 2: 1, 3: 2}
     assert html_extract.tree_match("0 a", "0 b") == {}
