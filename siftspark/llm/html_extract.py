@@ -6,7 +6,9 @@ tree is the wrapper's frame. Every other tree of the host is aligned with it by
 node a slot. Pages with the same tree and content count as one. A content that a slot has on nearly every page that has the
 slot, and on nearly every page of the host, is constant: template, and left out where a page has that very content in that
 slot. All else is content. Where elements say what they are, that is heeded as well: navigation, footers, forms,
-scripts, comments, adverts and the like are no content although they vary, and an article or main element bounds it.
+scripts, comments, adverts and the like are no content although they vary, and an article or main element bounds it. Only a
+whole word of class, id, role or itemprop says so, and never of html, body, main, article or what holds a main or article
+element; so comments that are article elements themselves stay in.
 
 Statistics are grouped by host, slot and content hash before anything is gathered by host, so a host with a third of all
 pages is spread over all tasks; the frames and constant slots of the hosts are one small row each. Pages are parsed twice
@@ -36,7 +38,8 @@ MIN_PAGES = 4
 #: The share of the pages with a slot, and of all pages of the host, that constant content is on.
 CONSTANT_SHARE, HOST_SHARE = 0.9, 0.8
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_NAMING = frozenset("class id role itemprop".split())
 _WORD = re.compile(r"[a-z]+")
 # The HTML vocabulary.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -45,12 +48,24 @@ RAW = frozenset("iframe noembed noframes noscript script style template textarea
 NO_CONTENT = frozenset("aside dialog fieldset footer form head menu nav".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "tbody": ("tbody thead tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Words in class, id or role that say an element is no content.
+#: Whole words of class, id, role or itemprop that say an element is no content.
 NO_CONTENT_WORDS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr hidden login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip skiplink social sponsor sponsored subscribe subscription tagcloud tags toolbar topbar widget widgets".split()
 )
 _HEADER_WORDS = frozenset(["header"])
 MAIN_WORDS = frozenset(["article", "main"])
+_MAIN_NAMES = frozenset("main main-content main_content articlebody".split())
+#: Elements that no name switches off.
+_KEPT = MAIN_WORDS | {"html", "body"}
+
+
+def _names(attributes: str) -> frozenset[str]:
+    """The words of the attributes that name an element; of an attribute given twice the first counts."""
+    named: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if (name := name.lower()) in _NAMING:
+            named.setdefault(name, "".join(values))
+    return frozenset(" ".join(named.values()).lower().split())
 
 
 class Page:
@@ -58,12 +73,19 @@ class Page:
 
     def __init__(self, text: str | None):
         self.labels, self.parent, self.children, self.off, self.main = ["#root"], [-1], [[]], [False], [False]
+        self.named, self.holds = [False], [False]
         self.segments: list[tuple[int, str]] = []
         self._read(text or "")
+        for k in range(len(self.labels) - 1, 0, -1):
+            if self.holds[k]:
+                self.holds[self.parent[k]] = True
+        for k in range(1, len(self.labels)):
+            self.off[k] |= self.off[self.parent[k]] or (self.named[k] and not self.holds[k])
 
     def _node(self, parent: int, tag: str, names: frozenset[str], again: bool) -> tuple[int, bool]:
         """The node for an element, and whether it stood there before."""
-        label = ".".join([tag, *sorted(names)])
+        no_content, main = bool(names & NO_CONTENT_WORDS), bool(names & _MAIN_NAMES)
+        label = ".".join([tag, *sorted(set(_WORD.findall(" ".join(names))))]) + "!" * no_content + "*" * main
         own = self.children[parent]
         for k in own if again else own[-1:]:
             if self.labels[k] == label:
@@ -74,9 +96,10 @@ class Page:
         self.children.append([])
         own.append(k)
         inside = self.main[parent]
-        self.main.append(inside or tag in MAIN_WORDS or "main" in names or "articlebody" in names)
-        off = tag in NO_CONTENT or bool(names & NO_CONTENT_WORDS) or (not inside and (tag == "header" or bool(names & _HEADER_WORDS)))
-        self.off.append(self.off[parent] or off)
+        self.main.append(inside or tag in MAIN_WORDS or main)
+        self.named.append(tag not in _KEPT and (no_content or (not inside and bool(names & _HEADER_WORDS))))
+        self.holds.append(tag in MAIN_WORDS)
+        self.off.append(tag in NO_CONTENT or (not inside and tag == "header"))
         return k, False
 
     def _read(self, text: str) -> None:
@@ -115,7 +138,7 @@ class Page:
                     put((-1, " "))
                 continue
             block = tag in BLOCKS
-            names = frozenset(_WORD.findall(" ".join(filter(None, (x for n in _NAMES.finditer(m[3]) for x in n.groups()))).lower())) if m[3] else frozenset()
+            names = _names(m[3]) if m[3] else frozenset()
             if not block and not names & NO_CONTENT_WORDS:
                 continue
             if block:

@@ -145,6 +145,22 @@ def test_html_copies_and_small_groups_show_no_template(spark):
         assert got[i] == " ".join(re.sub("<[^>]*>", " ", t.replace(">Site<", "><")).split())
 
 
+def test_html_names_switch_off_no_article():
+    for page in (
+        "<body class='no-sidebar'><article>Text</article></body>",
+        "<body class='search'><p>Text</p></body>",
+        "<html class=hidden><body class='comments-open'><div id=page class='content has-menu'><p>Text</p></div></body>",
+        "<body><div class='widget'><article class='post share'><p>Text</p></article></div></body>",
+        "<body><span class='related'><main role=main id=search>Text</main></span></body>",
+        "<body><div class='post related-work'>Text</div></body>",
+        "<body><div data-id='form' data-class=menu title='?id=search' href=/?id=search>Text</div></body>",
+        "<body><div class=post class=ad>Text</div></body>",
+        "<body><div class='main-menu'></div><div CLASS='x AD y'>off</div><p>Text</p><div id=comments>off</div><nav><article>off</article></nav></body>",
+        "<body><div class='ad'>off</div><div class='ad-2'>Text</div></body>",
+    ):
+        assert html_extract.Page(page).text(set()) == "Text", page
+
+
 def test_tree_matching_keeps_order():
     assert html_extract.tree_match("0 a\n1 b\n1 c\n2 d", "0 a\n1 c\n2 d\n1 b") == {0: 0, 2: 1, 3: 2}
     assert html_extract.tree_match("0 a", "0 b") == {}
