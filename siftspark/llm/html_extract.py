@@ -44,7 +44,9 @@ _WORD = re.compile(r"[a-z]+")
 # The HTML vocabulary.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp svg math select button object".split())
+RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
+#: Inline elements without content; they end with their parent.
+CONTROLS = frozenset("button select svg".split())
 NO_CONTENT = frozenset("aside dialog fieldset footer form head menu nav".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "tbody": ("tbody thead tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -99,7 +101,7 @@ class Page:
         self.main.append(inside or tag in MAIN_WORDS or main)
         self.named.append(tag not in _KEPT and (no_content or (not inside and bool(names & _HEADER_WORDS))))
         self.holds.append(tag in MAIN_WORDS)
-        self.off.append(tag in NO_CONTENT or (not inside and tag == "header"))
+        self.off.append(tag in NO_CONTENT or tag in CONTROLS or (not inside and tag == "header"))
         return k, False
 
     def _read(self, text: str) -> None:
@@ -117,13 +119,13 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                if tag in BLOCKS:
+                if tag in BLOCKS or tag == "object":
                     put((-1, " "))
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
                         del stack[depth:]
                         break
-                    if tag not in BLOCKS and stack[depth][0] in BLOCKS:
+                    if tag not in BLOCKS and tag not in CONTROLS and stack[depth][0] in BLOCKS:
                         break
                 continue
             if tag in RAW:
@@ -131,15 +133,19 @@ class Page:
                     end = re.compile(rf"</{re.escape(tag)}(?:[\s/>]|\Z)", re.I).search(text, at)
                     close = text.find(">", end.start()) if end else -1
                     at = close + 1 if close >= 0 else len(text)
-                put((-1, " ") if tag in ("iframe", "noscript", "textarea", "object") else (-1, ""))
+                put((-1, " ") if tag in ("iframe", "noscript", "textarea") else (-1, ""))
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
                     put((-1, " "))
                 continue
             block = tag in BLOCKS
+            if tag == "object":
+                put((-1, " "))
+            if tag in CONTROLS and m[3].endswith("/"):
+                continue
             names = _names(m[3]) if m[3] else frozenset()
-            if not block and not names & NO_CONTENT_WORDS:
+            if not block and tag not in CONTROLS and not names & NO_CONTENT_WORDS:
                 continue
             if block:
                 put((-1, " "))
@@ -148,12 +154,12 @@ class Page:
                         if stack[depth][0] == "p":
                             del stack[depth:]
                             break
-                        if stack[depth][0] in BLOCKS and not (len(stack[depth][0]) == 2 and stack[depth][0][0] == "h"):
+                        if stack[depth][0] in CONTROLS or stack[depth][0] in BLOCKS and not (len(stack[depth][0]) == 2 and stack[depth][0][0] == "h"):
                             break
                 if tag in CLOSES:
                     ends, bounds = CLOSES[tag]
                     for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in bounds:
+                        if stack[depth][0] in bounds or stack[depth][0] in CONTROLS:
                             break
                         if stack[depth][0] in ends:
                             del stack[depth:]

@@ -161,6 +161,17 @@ def test_html_names_switch_off_no_article():
         assert html_extract.Page(page).text(set()) == "Text", page
 
 
+def test_html_formulas_objects_and_open_controls():
+    for page, text in (
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", "Let x=1 be"),
+        ("<article><p>a<object data=f>shown instead</object>b</p></article>", "a shown instead b"),
+        ("<article><div><button>off</div><p>a</p><div><select><option>off</div><p>b</p><div><object></div><p>c</p><div><svg><text>off</div><p>d</p></article>", "a b c d"),
+        ("<article>a<button>off</button>b<button/>c<svg viewBox='0'/>d<p>e<button><p>off</p><div>off</button>f</p></article>", "abcd e f"),
+        ("<article><ul><li>a<select><li>off</select>b</ul><script>off", "a b"),
+    ):
+        assert " ".join(html_extract.Page(page).text(set()).split()) == text, page
+
+
 def test_tree_matching_keeps_order():
     assert html_extract.tree_match("0 a\n1 b\n1 c\n2 d", "0 a\n1 c\n2 d\n1 b") == {0: 0, 2: 1, 3: 2}
     assert html_extract.tree_match("0 a", "0 b") == {}
