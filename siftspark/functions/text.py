@@ -14,6 +14,7 @@ WORD_COUNT = r"(?U)\b[\w.-]+\b"
 MARKER = r"\[(C[1-9][0-9]*)\]"
 HEADING_ONLY = r"\A#{1,6}\s+\S[^\n]*\z"
 CHUNK_ID = r"\A(?<doc>[a-z0-9]+-[0-9]{3})-sec-(?<sec>[0-9]{3})-ch-(?<ch>[0-9]{3})\z"
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 SHORT_TOKENS = 32
 EVIDENCE_TOKEN = r"[A-Za-z][A-Za-z0-9_-]*|[0-9]+"
 STOP_WORDS = "a an the and or how what which who why where when is are was were be been being of for on in as at to from by with it its these those this that can could would should do does did you your our does not means into than through their them each all every using use used about without while if such set field fields kubernetes pod pods cluster".split()
@@ -117,8 +118,11 @@ def citation_markers(answer: Column) -> Column:
 
 
 def contains_quote(source: Column, quote: Column) -> Column:
-    """The quote stands in the source, white space and case aside; an empty quote doesn't."""
-    flat = lambda c: F.lower(normal_space(F.coalesce(c, F.lit(""))))
+    """The quote stands in the source, Unicode white space and case aside; an empty quote doesn't, nor any in null text.
+
+    Upper then lower case is full case folding (ß as ss) but for a dotless i, which counts as i. The sigma between them has one
+    lower form wherever it stands, and keeps Spark from dropping the upper case as without effect."""
+    flat = lambda c: F.lower(F.translate(F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))), "Σ", "σ"))
     return (flat(quote) != "") & F.contains(flat(source), flat(quote))
 
 

@@ -1,6 +1,7 @@
 """Operators without SQL: chunk spans, HTML blocks, quotable spans, sources, pipelines."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from siftspark.functions.chunking import ChunkSettings, boundary_priority, regex_spans, split_spans
 from siftspark.functions.evidence_spans import extract_spans
 from siftspark.functions.html_blocks import html_blocks
+from siftspark.functions.text import contains_quote
 from siftspark.operators import corpus as C
 from siftspark.operators import evidence as E
 from siftspark.plans import pipelines as P
+from siftspark.plans.evidence import p29_quotes
 from siftspark.sources import chat, fetch, files
 from siftspark.streaming import resume
 
@@ -199,3 +202,15 @@ def test_resume_and_ingest(spark, tmp_path):
         (src / f"{n}.json").write_text(rows)
         resume.ingest_changed(spark, str(src), "k long, t string", f"{tmp_path}/out", f"{tmp_path}/cp", "k", "t")
     assert sorted((r.k, r.t) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b"), (2, "c")]
+
+
+def test_quotes_in_all_documents(spark, sf_dir):
+    """A row for every document, against Python's case folding."""
+    flat = lambda t: re.sub(r"\s+", " ", t or "").strip().casefold()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    quotes = [(r.text or "")[4:16].upper() if r.doc_id % 3 == 0 else " " if r.doc_id % 3 == 1 else "zzzz qq" for r in docs]
+    want = [(r.doc_id, flat(q) != "" and flat(q) in flat(r.text)) for r, q in zip(docs, quotes, strict=True)]
+    assert sorted(map(tuple, p29_quotes(spark, sf_dir).collect())) == sorted(want)
+    odd = [("Die Straße", "STRASSE"), ("a\u00a0b\u2003 c\x1cd", "A B C D"), ("λόγος", "ΛΌΓΟΣ"), ("λόγοσα", "όγος"), ("été", "ETE"), (None, "a"), ("a", None), (None, None), ("a", "\u00a0")]
+    got = spark.createDataFrame(odd, "s string, q string").select("s", "q", contains_quote(F.col("s"), F.col("q")).alias("f")).collect()
+    assert [(r.s, r.q, r.f) for r in got] == [(a, b, flat(b) != "" and flat(b) in flat(a)) for a, b in odd]
