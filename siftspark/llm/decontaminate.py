@@ -3,16 +3,18 @@
 Texts and test items are normalised the same way: lower case, every run of other than letters and digits one space. An
 item of m characters may differ from a passage by ``m // CHARS_PER_ERROR`` edits. It is cut into one piece more than that, so
 any passage within the budget holds a piece unchanged. One Aho-Corasick automaton over all pieces finds the exact hits in
-one pass of a text; each hit says where the item would lie, and Myers' bit-parallel distance settles it there.
-
-The items are the stated query set. They go to the workers in blocks whose characters are counted and bounded
-(``BLOCK_CHARS``); a larger benchmark takes more passes over the documents, and the results of each pass are written
-before the next. Documents are never shuffled.
-
-Defined results: null or empty documents match nothing; items whose normalised text has fewer than ``MIN_CHARS`` characters
-name no passage and match nothing; equal items are matched once and reported each; repeated document rows are reported once a
-row; of several places the one with the least distance, then the first, is reported; empty tables give no rows; extra columns
-are ignored (``decontaminate`` keeps those of the documents).
+one pass of a text; each hit says where the item would lie, and Myers' bit-parallel distance settles it there. An item of
+fewer than ``CHARS_PER_ERROR`` characters has no budget: it is one piece, found exactly, and only as whole words (so "a cat"
+isn't found in "a catalogue").
+
+The items are the stated query set. They go to the workers in blocks whose characters are counted as they are read and bounded
+(``BLOCK_CHARS``, but for a longer item, which is a block of its own); a larger benchmark takes more passes over the
+documents, and the results of each pass are written before the next. Documents are never shuffled.
+
+Defined results: null or empty documents match nothing; null items and items without a letter or digit match nothing, all
+others are searched however short; equal items are matched once and reported each; an item with a null id is reported with
+a null item_id; repeated document rows are reported once a row; of several places the one with the least distance, then the
+first, is reported; empty tables give no rows; extra columns are ignored (``decontaminate`` keeps those of the documents).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import durable, ship_package
 
-CHARS_PER_ERROR, MIN_CHARS = 16, 32
+CHARS_PER_ERROR = 16
 #: Normalised characters of items that go to the workers at once.
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -49,6 +51,10 @@ def cut(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+def _whole_words(text: str, begin: int, end: int) -> bool:
+    return text[begin - 1 : begin] in ("", " ") and text[end : end + 1] in ("", " ")
+
+
 class Pattern:
     """Myers' bit-parallel distance of one item to the substrings of a text."""
 
@@ -90,7 +96,7 @@ class Matcher:
         self.ids: dict[str, list[int]] = {}
         for item_id, text in items:
             shown = normalise(text)
-            if len(shown) >= MIN_CHARS:
+            if shown:
                 self.ids.setdefault(shown, []).append(item_id)
         self.patterns = [Pattern(x) for x in self.ids]
         places: dict[str, list[tuple[int, int]]] = {}
@@ -112,7 +118,9 @@ class Matcher:
         starts: dict[int, set[int]] = {}
         for last, (length, at) in self.automaton.iter(shown):
             for k, offset in at:
-                starts.setdefault(k, set()).add(last + 1 - length - offset)
+                begin = last + 1 - length - offset
+                if self.patterns[k].budget or _whole_words(shown, begin, last + 1):
+                    starts.setdefault(k, set()).add(begin)
         out = []
         for k, begins in starts.items():
             p = self.patterns[k]
@@ -134,7 +142,7 @@ class Matcher:
                     best = (d, low + end)
             if best:
                 out += [(i, best[0], best[1], p.m) for i in self.ids[p.item]]
-        return sorted(out)
+        return sorted(out, key=lambda h: (h[0] is not None, h))
 
 
 _MATCHERS: dict[int, Matcher] = {}
@@ -169,13 +177,17 @@ def _clean_udf(items: list[tuple[int, str]]):
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about block_chars characters, one at a time on the driver."""
+    """The items in blocks of at most block_chars characters or one item, one block at a time on the driver."""
     own = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    total = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // block_chars)
-    for k in range(n):
-        block = own if n == 1 else own.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in block.collect()]
+    block, held = [], 0
+    for r in own.toLocalIterator():
+        if block and held + len(r.t) > block_chars:
+            yield block
+            block, held = [], 0
+        block.append((r.i, r.t))
+        held += len(r.t)
+    if block:
+        yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
