@@ -4,8 +4,9 @@ Byte-level BPE splits a text into pre-tokens that never run from a non-space int
 white space encodes to the ids of its parts, one after the other, and the same part always has the same ids. Each worker
 keeps the ids of parts and pre-tokens it met first, in tables of bounded size (frequent words come early, so they are in).
 A part it doesn't know goes to the library: letters with marks behind them, the common case, as pre-tokens straight to
-the library's BPE model, whatever else through the library's whole encoder. The ids are the library's own, and tests hold
-them against its answers for whole texts.
+the library's BPE model, whatever else through the library's whole encoder. Added tokens (``<|endoftext|>``) are cut out first,
+as the library does, leftmost and longest; where one has rules of its own about the text around it, a text that holds one
+goes to the library whole. The ids are the library's own, and tests hold them against a fresh tokenizer's answers for whole texts.
 """
 
 from __future__ import annotations
@@ -65,8 +66,11 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self._added = {t.content: array("I", [self.tokenizer.token_to_id(t.content)]).tobytes() for t in added}
+        self._added_apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self._cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
         self._pretoken = _Remembered(self._ask_model, CACHE_PRETOKENS).__getitem__
@@ -105,6 +109,15 @@ class PartEncoder:
         """The ids of a text; a null or empty text has none."""
         if not text:
             return b""
+        if any(x in text for x in self._added):
+            if not self._added_apart:
+                return self._whole(text)
+            # Every other piece is an added token.
+            return b"".join([self._added[x] if k % 2 else self._plain(x) for k, x in enumerate(self._cut_added(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if any(x in text for x in _RUNS):
             return b"".join(map(self._piece, _PARTS.findall(text)))
         first, *rest = text.split(" ")
