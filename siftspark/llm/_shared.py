@@ -54,6 +54,39 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns of df under names that an operator's own can't clash with."""
+    return df.toDF(*[f"__own_{k}" for k in range(len(df.columns))])
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns of ``numbered`` under their names again."""
+    return [F.col(f"__own_{k}").alias(c) for k, c in enumerate(columns)]
+
+
+#: A key is hot if it has more than one in HOT_KEYS of all rows, so there are fewer than HOT_KEYS of them, and at least HOT_ROWS rows.
+HOT_KEYS, HOT_ROWS = 2000, 500
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """left join right on key (how: inner or left), where right has one row a key, without a task that gets all rows of a hot key.
+
+    The rows of left with a hot key stay where they are: the few rows of right that they need are broadcast. All others are
+    shuffled. left and right are read up to three times, so both should be written tables. Null keys match nothing.
+    """
+    key = [key] if isinstance(key, str) else key
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, key, how)
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = durable(left.groupBy(*key).count().where((F.col("count") > least) & ~sum((F.col(k).isNull().cast("int") for k in key), F.lit(0)).cast("boolean")).select(*key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    wanted = durable(right.join(F.broadcast(hot), key, "left_semi"), "hot-rows")
+    apart = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(wanted), key, how)
+    return apart.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

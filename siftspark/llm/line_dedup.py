@@ -1,18 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes (native: DataFrame operations alone).
 
-Lines are hashed once into a staged table. It is taken in batches by falling doc_id. Each batch is aggregated to one
-row a key, merge-joined against the runs that exist, and adds its own run: keys that no run owns yet (the anti side)
-enter with their owner, the largest doc_id that holds them; keys that a run owns add their count alone. When a level
-holds ``fanout`` runs, they are merged into one run of the next level. In the end the few keys found in
+Lines are hashed once into a staged table. It is taken in batches by falling doc_id, cut at quantiles of the ids. Each batch
+is aggregated to one row a key, merge-joined against the runs that exist, and adds its own run: keys that no run owns yet
+(the anti side) enter with their owner, the largest doc_id that holds them; keys that a run owns add their count alone. When
+a level holds ``fanout`` runs, they are merged into one run of the next level. In the end the few keys found in
 ``min_docs`` documents or more are matched with the staged lines, and every document drops those lines it doesn't own.
 
 A run is a Parquet table in the shared folder, dealt by key and sorted by key in each partition. All steps pre-aggregate
-before they shuffle, so a line that a third of all documents hold is one row a task; the text itself moves once, by
-document. Keys are 128 bits of hash.
+before they shuffle, so a line that a third of all documents hold is one row a task; when lines are matched in the end, the
+rows of such a key stay where they are. The text itself moves once, by document. Keys are 128 bits of hash.
 
-Defined results: null or empty text is one empty line; every row counts as one document even where doc_id repeats, and
-all rows with the largest doc_id keep the line; a null doc_id is below all others; a line that a document repeats counts
-once; an empty table gives no rows; other columns pass through (names that start with ``__ld_`` are reserved).
+Defined results: null or empty text is one empty line; a document is a doc_id, so rows that repeat one count once and all rows
+with the largest doc_id keep the line; rows with a null doc_id are together one document, below all others; a line that
+a document repeats counts once; an empty table gives no rows; other columns pass through whatever their names (but ``line_dedup``
+replaces columns that have the names of its three results).
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, ascii_lower, drop_path, new_scratch
+from ._shared import ASCII_SPACE, ascii_lower, drop_path, durable, named, new_scratch, numbered, spread_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 3
 _LOWEST = -(1 << 63)
 _KEY = ["__ld_h1", "__ld_h2"]
+_RESULTS = ["__ld_n_lines", "__ld_n_dropped", "__ld_kept"]
 
 
 def line_keys(text: Column) -> Column:
@@ -83,18 +85,17 @@ class LineRuns:
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys with their owner that min_docs documents or more hold."""
-        return self.merged(self.read()).where(F.col("__ld_n") >= min_docs).select(*_KEY, "__ld_owner")
+        """Keys with their owner that min_docs documents or more hold, as a written table."""
+        return durable(self.merged(self.read()).where(F.col("__ld_n") >= min_docs).select(*_KEY, "__ld_owner"), "line-frequent")
 
 
 def stage_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batches: int) -> DataFrame:
     """A written row for each distinct long key of each document, in folders by batch; later batches hold lower ids."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("__ld_doc"), F.col(text_col).alias("__ld_text"))
-    low, high = ids.agg(F.min("__ld_doc"), F.max("__ld_doc")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // batches + 1
-    batch = sum((F.when(F.col("__ld_doc") <= high - width * k, 1).otherwise(0) for k in range(1, batches)), F.lit(0)) if high > low else F.lit(0)
+    shares = [1 - k / batches for k in range(1, batches)]
+    cuts = ids.where(F.col("__ld_doc") != _LOWEST).agg(F.percentile_approx("__ld_doc", shares, 1000)).first()[0] if shares else []
+    batch = sum((F.when(F.col("__ld_doc") <= c, 1).otherwise(0) for c in cuts or []), F.lit(0))
     lines = (
         ids.select("__ld_doc", _row_hash(F.col("__ld_text")).alias("__ld_row"), F.posexplode(line_keys(F.col("__ld_text"))).alias("__ld_pos", "__ld_key"))
         .where(F.length("__ld_key") >= min_chars)
@@ -112,32 +113,40 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for b in range(batches):
         own = staged.where(F.col("__ld_batch") == b)
         # A document's repeated line counts once; partial aggregation does most of it before the rows move.
-        runs.add(own.groupBy(*_KEY, "__ld_doc", "__ld_row").agg(F.lit(1)).select(*_KEY, "__ld_doc"))
-    hits = staged.join(runs.frequent(min_docs), _KEY).where(F.col("__ld_doc") != F.col("__ld_owner"))
+        runs.add(own.select(*_KEY, "__ld_doc").distinct())
+    hits = spread_join(staged, runs.frequent(min_docs), _KEY).where(F.col("__ld_doc") != F.col("__ld_owner"))
     return hits.groupBy("__ld_doc", "__ld_row").agg(F.collect_set("__ld_pos").alias("__ld_drop"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """All columns of docs, and __ld_n_lines, __ld_n_dropped and __ld_kept (the text without the dropped lines)."""
+def _dedup(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """The columns of docs by number, and the three results."""
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
-    mine = docs.withColumns({"__ld_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), "__ld_row": _row_hash(F.col(text_col))})
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    out = mine.join(drops, ["__ld_doc", "__ld_row"], "left").withColumn("__ld_lines", lines)
-    kept = F.when(F.col("__ld_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
+    own = numbered(docs)
+    doc, text = (F.col(own.columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    mine = own.withColumns({"__ld_doc": F.coalesce(doc.cast("long"), F.lit(_LOWEST)), "__ld_row": _row_hash(text)})
+    out = mine.join(drops, ["__ld_doc", "__ld_row"], "left").withColumn("__ld_lines", F.split(F.coalesce(text, F.lit("")), "\n", -1))
+    kept = F.when(F.col("__ld_drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_drop")), lambda i: F.get(F.col("__ld_lines"), i)), "\n")
     )
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *own.columns,
         F.size("__ld_lines").cast("long").alias("__ld_n_lines"),
         F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long").alias("__ld_n_dropped"),
         kept.alias("__ld_kept"),
     )
 
 
-def line_dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """All columns of docs, and __ld_n_lines, __ld_n_dropped and __ld_kept (the text without the dropped lines)."""
+    rest = docs.drop(*_RESULTS)
+    return _dedup(rest, id_col, text_col, min_chars, min_docs, batches, fanout).select(*named(rest.columns), *_RESULTS)
+
+
+def line_dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with its own columns, its text replaced by the kept lines; a null text stays null."""
-    out = line_dedup(docs, id_col, text_col, **options)
-    return out.select(*[F.when(F.col(text_col).isNotNull(), F.col("__ld_kept")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = _dedup(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
+    text = f"__own_{docs.columns.index(text_col)}"
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__ld_kept"))).select(*named(docs.columns))
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
