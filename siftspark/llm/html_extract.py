@@ -12,7 +12,7 @@ element; so comments that are article elements themselves stay in.
 
 Statistics are grouped by host, slot and content hash before anything is gathered by host, so a host with a third of all
 pages is spread over all tasks; the frames and constant slots of the hosts are one small row each. Pages are parsed twice
-(statistics, text) and their html moves only if the hosts' rows are too many to broadcast.
+(statistics, text) and their html moves only if the hosts' rows are too many to broadcast, and then not for hosts with many pages.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do in the main (open elements end
 with their parent, a comment without end takes the rest); a page whose slots are all constant keeps its article; a host with
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, ship_package
+from ._shared import durable, named, numbered, ship_package, spread_join
 
 MIN_PAGES = 4
 #: The share of the pages with a slot, and of all pages of the host, that constant content is on.
 CONSTANT_SHARE, HOST_SHARE = 0.9, 0.8
+#: The hosts' wrappers are broadcast up to so many characters; beyond, pages meet them by host, hot hosts apart.
+BROADCAST_CHARS = 8_000_000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _NAMING = frozenset("class id role itemprop".split())
@@ -106,6 +109,13 @@ class Page:
 
     def _read(self, text: str) -> None:
         stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        # How many elements of each tag are open, so that nothing looks through a deep stack in vain.
+        opened: Counter[str] = Counter()
+
+        def close(depth: int) -> None:
+            opened.subtract(t for t, _, _ in stack[depth:])
+            del stack[depth:]
+
         put = self.segments.append
         at = 0
         for m in iter(_TOKEN.scanner(text).search, None):
@@ -121,9 +131,9 @@ class Page:
             if m[1]:
                 if tag in BLOCKS or tag == "object":
                     put((-1, " "))
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                     if stack[depth][0] == tag:
-                        del stack[depth:]
+                        close(depth)
                         break
                     if tag not in BLOCKS and tag not in CONTROLS and stack[depth][0] in BLOCKS:
                         break
@@ -131,8 +141,8 @@ class Page:
             if tag in RAW:
                 if not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}(?:[\s/>]|\Z)", re.I).search(text, at)
-                    close = text.find(">", end.start()) if end else -1
-                    at = close + 1 if close >= 0 else len(text)
+                    shut = text.find(">", end.start()) if end else -1
+                    at = shut + 1 if shut >= 0 else len(text)
                 put((-1, " ") if tag in ("iframe", "noscript", "textarea") else (-1, ""))
                 continue
             if tag in VOID:
@@ -149,38 +159,34 @@ class Page:
                 continue
             if block:
                 put((-1, " "))
-                if tag != "p" or any(s[0] == "p" for s in stack):
+                if opened["p"] > 0:
                     for depth in range(len(stack) - 1, 0, -1):
                         if stack[depth][0] == "p":
-                            del stack[depth:]
+                            close(depth)
                             break
                         if stack[depth][0] in CONTROLS or stack[depth][0] in BLOCKS and not (len(stack[depth][0]) == 2 and stack[depth][0][0] == "h"):
                             break
                 if tag in CLOSES:
                     ends, bounds = CLOSES[tag]
-                    for depth in range(len(stack) - 1, 0, -1):
+                    for depth in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in ends) else ():
                         if stack[depth][0] in bounds or stack[depth][0] in CONTROLS:
                             break
                         if stack[depth][0] in ends:
-                            del stack[depth:]
+                            close(depth)
                             break
             _, parent, again = stack[-1]
             k, was = self._node(parent, tag, names, again)
             stack.append((tag, k, was))
+            opened[tag] += 1
         if at < len(text):
             put((stack[-1][1], text[at:]))
 
     def skeleton(self) -> str:
         """The tree in preorder, a line a node: depth and label."""
-        out: list[str] = []
-
-        def walk(k: int, depth: int) -> None:
-            out.append(f"{depth} {self.labels[k]}")
-            for c in self.children[k]:
-                walk(c, depth + 1)
-
-        walk(0, 0)
-        return "\n".join(out)
+        depth = [0] * len(self.labels)
+        for k in range(1, len(depth)):
+            depth[k] = depth[self.parent[k]] + 1
+        return "\n".join([f"{depth[k]} {self.labels[k]}" for k in self.preorder()])
 
     def preorder(self) -> list[int]:
         out, todo = [], [0]
@@ -228,54 +234,99 @@ def read_skeleton(skeleton: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
+def _tree_ids(labels: list[str], children: list[list[int]], known: dict[tuple, int]) -> list[int]:
+    """A number for each node, equal where the subtrees are; children have larger indexes than their parents."""
+    out = [0] * len(labels)
+    for k in range(len(labels) - 1, -1, -1):
+        out[k] = known.setdefault((labels[k], *[out[c] for c in children[k]]), len(known))
+    return out
+
+
 def tree_match(a: str, b: str) -> dict[int, int]:
-    """Simple tree matching: the largest order-preserving map of nodes of a to nodes of b with equal labels and matched parents."""
+    """Simple tree matching: the largest order-preserving map of nodes of a to nodes of b with equal labels and matched parents.
+
+    Children that both sides begin or end with as equal subtrees are matched with each other at once, as no map of the rest
+    can gain by another use of them. Nothing recurses, so the depth of a page doesn't matter.
+    """
     la, ca = read_skeleton(a)
     lb, cb = read_skeleton(b)
-    tables: dict[tuple[int, int], list[list[int]]] = {}
+    if la[0] != lb[0]:
+        return {}
+    known: dict[tuple, int] = {}
+    ta, tb = _tree_ids(la, ca, known), _tree_ids(lb, cb, known)
+    size = [1] * len(la)
+    for k in range(len(la) - 1, -1, -1):
+        size[k] += sum(size[c] for c in ca[k])
+    plans: dict[tuple[int, int], tuple[int, int, list[int], list[int]]] = {}
+    tables: dict[tuple[int, int], list[array]] = {}
     weights: dict[tuple[int, int], int] = {}
 
-    def weight(i: int, j: int) -> int:
-        if la[i] != lb[j]:
-            return 0
-        if (i, j) in weights:
-            return weights[i, j]
+    def plan(i: int, j: int) -> tuple[int, int, list[int], list[int]]:
+        """How many children are equal from the front and from the back, and those between of either side."""
         x, y = ca[i], cb[j]
-        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p, u in enumerate(x, 1):
-            for q, v in enumerate(y, 1):
-                m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + weight(u, v))
+        least = min(len(x), len(y))
+        front = next((k for k in range(least) if ta[x[k]] != tb[y[k]]), least)
+        back = next((k for k in range(least - front) if ta[x[-1 - k]] != tb[y[-1 - k]]), least - front)
+        return front, back, x[front : len(x) - back], y[front : len(y) - back]
+
+    # Pairs of nodes with equal labels, parents before children; weights are filled from the end.
+    pairs, at = [(0, 0)], 0
+    while at < len(pairs):
+        i, j = pairs[at]
+        at += 1
+        if ta[i] == tb[j]:
+            weights[i, j] = size[i]
+            continue
+        plans[i, j] = plan(i, j)
+        _, _, x, y = plans[i, j]
+        by_label: dict[str, list[int]] = {}
+        for v in y:
+            by_label.setdefault(lb[v], []).append(v)
+        pairs += [(u, v) for u in x for v in by_label.get(la[u], ())]
+    for i, j in reversed(pairs):
+        if (i, j) in weights:
+            continue
+        front, back, x, y = plans[i, j]
+        m = [array("i", bytes(4 * (len(y) + 1)))]
+        for u in x:
+            above, row = m[-1], array("i", [0])
+            for q, v in enumerate(y):
+                row.append(max(above[q + 1], row[q], above[q] + weights.get((u, v), 0)))
+            m.append(row)
         tables[i, j] = m
-        weights[i, j] = 1 + m[-1][-1]
-        return weights[i, j]
+        equal = ca[i][:front] + ca[i][len(ca[i]) - back :]
+        weights[i, j] = 1 + m[-1][-1] + sum(size[u] for u in equal)
 
     out: dict[int, int] = {}
-
-    def trace(i: int, j: int) -> None:
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
         out[i] = j
-        m, x, y = tables[i, j], ca[i], cb[j]
-        p, q = len(x), len(y)
+        if (i, j) not in plans:  # equal subtrees
+            todo += zip(ca[i], cb[j], strict=True)
+            continue
+        front, back, x, y = plans[i, j]
+        todo += zip(ca[i][:front], cb[j][:front], strict=True)
+        todo += zip(ca[i][len(ca[i]) - back :], cb[j][len(cb[j]) - back :], strict=True)
+        m, p, q = tables[i, j], len(x), len(y)
         while p and q:
             if m[p][q] == m[p - 1][q]:
                 p -= 1
             elif m[p][q] == m[p][q - 1]:
                 q -= 1
             else:
-                trace(x[p - 1], y[q - 1])
+                todo.append((x[p - 1], y[q - 1]))
                 p, q = p - 1, q - 1
-
-    if weight(0, 0):
-        trace(0, 0)
     return out
 
 
 def slots(skeleton: str, frame: str) -> list[str]:
-    """The slot of each node: its node of the frame, or its own path where the frame has none, numbered where it repeats."""
+    """The slot of each node: its node of the frame, or the hash of its path where the frame has none, numbered where it repeats."""
     to = tree_match(skeleton, frame)
     labels, children = read_skeleton(skeleton)
     path = [""] * len(labels)
     for k, label in enumerate(labels):
-        path[k] += "/" + label
+        path[k] = xxhash.xxh3_64_hexdigest(f"{path[k]}/{label}")
         for c in children[k]:
             path[c] = path[k]
     seen: Counter[str] = Counter()
@@ -350,11 +401,16 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """All columns of pages and __he_text, the main text."""
+    """All columns of pages and __he_text, the main text (in place of a column of that name)."""
+    pages = pages.drop("__he_text")
     wrappers = induce_wrappers(pages, url_col, html_col).toDF("__he_host", "__he_frame", "__he_constant")
-    hosted = pages.withColumn("__he_host", host_of(F.col(url_col))).join(wrappers, "__he_host", "left")
+    own = numbered(pages)
+    url, html = (F.col(own.columns[pages.columns.index(c)]) for c in (url_col, html_col))
+    hosted = own.withColumn("__he_host", host_of(url))
+    size = wrappers.agg(F.sum(F.length("__he_frame") + F.length(F.concat_ws("", "__he_constant")))).first()[0] or 0
+    hosted = hosted.join(F.broadcast(wrappers), "__he_host", "left") if size <= BROADCAST_CHARS else spread_join(hosted, wrappers, "__he_host", "left")
     extract = F.pandas_udf(_extract, "string")
-    return hosted.select(*[F.col(f"`{c}`") for c in pages.columns], extract(F.col(html_col), "__he_frame", "__he_constant").alias("__he_text"))
+    return hosted.select(*named(pages.columns), extract(html, "__he_frame", "__he_constant").alias("__he_text"))
 
 
 def page_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
