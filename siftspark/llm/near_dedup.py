@@ -1,8 +1,8 @@
 """Near-duplicate documents by fast similarity sketching, banding and exact verification.
 
 A document's set holds its distinct five-word shingles (A-Z lower-cased, words split at ASCII white space; with fewer words
-the whole sequence is the one shingle). Documents with equal sets form a class, found by a 128-bit hash of the set, and from
-there on a class counts once. Each class has a sketch of ``BINS`` coordinates: in round i < BINS every shingle is thrown into
+the whole sequence is the one shingle). Documents with equal sets form a class, found by 128 bits of a cryptographic digest of
+the whole sorted set, and from there on a class counts once. Each class has a sketch of ``BINS`` coordinates: in round i < BINS every shingle is thrown into
 one bin with a hashed value, and from round BINS on all go to bin i - BINS, so that every coordinate fills after 2 * BINS
 rounds at most; a coordinate keeps the least (round, value). Coordinates agree with probability equal to the Jaccard
 similarity and concentrate like independent ones. ``BINS / ROWS`` bands of ROWS coordinates make the candidates: at 0.75 a
@@ -14,7 +14,7 @@ pointer jumping, distributed, every step written to the shared folder). Only cla
 different components are then compared with each other. Two exact bounds keep that from growing with the square of a group: sizes,
 and in crowded buckets the shingles of a class that any class of another component has at all, as no intersection is larger.
 A longer sketch must agree well enough too (``FAR_BITS``). Links are confirmed on the full shingle sets, recounted from the
-texts; hashes never decide. A group of m copies so costs about HUBS * m comparisons.
+texts; sketches never decide. A group of m copies so costs about HUBS * m comparisons.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; repeated rows are copies of each
 other; rows that repeat a doc_id with other text are nodes of their own; component_id is the least doc_id reachable
@@ -25,6 +25,7 @@ are ignored (``near_dedup`` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower_bytes, durable, ship_package
+from ._shared import ascii_lower_bytes, durable, named, numbered, ship_package, spread_join
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: Classes of a bucket that all its members are compared with, and members from which a bucket is crowded (another way to the
 #: same pairs, not a cap).
 HUBS, CROWDED = 3, 16
+#: Groups that the partners of one class are dealt to.
+SALTS = 64
 #: In the second stage classes are told apart by the last bits of LONG coordinates. Two sets of similarity 0.75 differ in 128 of 1024
 #: bits on average, with a standard deviation of 10.6; in more than FAR_BITS with a probability of about 1e-6.
 LONG, FAR_BITS = 1024, 181
@@ -47,6 +50,7 @@ _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 SKETCHES = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _ROWS_OUT = 2000
+_ROW = ["__nd_id", "__nd_null", "__nd_hash"]
 
 
 def shingle_set(text: str | None) -> set[bytes]:
@@ -101,23 +105,23 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((doc, text_hash, 0, None, None))
                     continue
                 hashes = np.sort(np.fromiter(map(digest, own), np.uint64, len(own)))
-                rows.append((doc, text_hash, len(own), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(sketch(hashes))))
+                rows.append((doc, text_hash, len(own), sha256(b"\n".join(sorted(own))).digest()[:16], band_keys(sketch(hashes))))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, b, text_a, text_b; keeps the pairs whose full sets are similar enough. Rows of one a come together."""
-    last, mine = None, set()
+    """Rows a, side, id, text: a's own text (side 0), then the texts to hold against it. Keeps the pairs whose full sets are similar enough."""
+    mine: set[bytes] = set()
     for batch in batches:
         links: list[tuple[bytes, bytes]] = []
-        for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4)), strict=True):
-            a, b = a.as_py(), b.as_py()
-            if a != last:
-                last, mine = a, shingle_set(text_a.as_py())
-            other = shingle_set(text_b.as_py())
-            both = len(mine & other)
-            if both and 100 * both >= SIMILARITY * (len(mine) + len(other) - both):
-                links.append((a, b))
+        for a, side, b, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+            own = shingle_set(text.as_py())
+            if not side.as_py():
+                mine = own
+                continue
+            both = len(mine & own)
+            if both and 100 * both >= SIMILARITY * (len(mine) + len(own) - both):
+                links.append((a.as_py(), b.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -168,11 +172,17 @@ def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links. Each text is fetched for the classes in pairs alone."""
+    """The pairs (a, b) of classes that are links. Each text is fetched for the classes in pairs alone.
+
+    A hub's text goes once to each of at most SALTS groups of its partners, so its pairs don't meet in one task.
+    """
     texts = class_texts(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, docs)
-    with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier, "a binary, b binary").distinct()
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    text_of = lambda x: texts.select(F.col("cls").alias(x), "text")
+    first = salted.select("a", "salt").distinct().join(text_of("a"), "a").select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+    others = salted.join(text_of("b"), "b").select("a", "salt", F.lit(1).alias("side"), "b", "text")
+    dealt = first.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    return dealt.select("a", "side", "b", "text").mapInArrow(_verifier, "a binary, b binary").distinct()
 
 
 def crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
@@ -187,14 +197,15 @@ def crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(cls, root) for every class in links: root is the least class that can be reached."""
     # A class that links to several hubs ties them all to the least: about an edge a class is left to pass labels along.
-    tied = links.join(links.groupBy("b").agg(F.min("a").alias("m")), "b").select("a", "b", F.least("b", "m").alias("m"))
+    tied = spread_join(links, links.groupBy("b").agg(F.min("a").alias("m")), "b").select("a", "b", F.least("b", "m").alias("m"))
     forest = durable(tied.select("b", "m").union(tied.select("a", "m")).toDF("src", "dst").where("src <> dst").distinct(), "near-forest")
     edges = durable(forest.union(forest.select("dst", "src")), "near-edges")
     labels = durable(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("cls"), F.least("src", "m").alias("root")), "near-labels")
     while True:
-        near = edges.join(labels, F.col("dst") == F.col("cls")).groupBy("src").agg(F.min("root").alias("m"))
-        stepped = labels.join(near, F.col("cls") == F.col("src")).select("cls", F.least("root", "m").alias("next"), F.col("root").alias("was"))
-        jumped = stepped.join(labels.select(F.col("cls").alias("k"), F.col("root").alias("far")), F.col("next") == F.col("k"))
+        # A hub is the neighbour of many and, soon, the root of many: both lookups are by hot keys.
+        near = spread_join(edges, labels.withColumnRenamed("cls", "dst"), "dst").groupBy("src").agg(F.min("root").alias("m"))
+        stepped = durable(labels.join(near, F.col("cls") == F.col("src")).select("cls", F.least("root", "m").alias("next"), F.col("root").alias("was")), "near-steps")
+        jumped = spread_join(stepped, labels.toDF("next", "far"), "next")
         after = durable(jumped.select("cls", F.least("next", "far").alias("root"), "was"), "near-labels")
         if after.where(F.col("root") != F.col("was")).isEmpty():
             return after.select("cls", "root")
@@ -229,7 +240,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = durable(texts.mapInArrow(_bits, "cls binary, " + ", ".join(f"x{k} long" for k in range(LONG // 64))), "near-bits")
     crowd = durable(rest.where(F.col("c") >= CROWDED).select("cls", "root").distinct(), "near-crowd")
     bound = durable(crossing(crowd, texts), "near-bound")
-    near = rest.join(bound, "cls", "left").withColumn("cross", F.coalesce("cross", "n")).where(F.col("cross") * 100 >= SIMILARITY * F.col("n")).join(bits, "cls").join(classes.select("cls", "bands"), "cls")
+    # The bound was counted among the classes of crowded buckets, so it says something about pairs of a crowded bucket alone.
+    cross = F.when(F.col("c") >= CROWDED, F.coalesce("cross", "n")).otherwise(F.col("n"))
+    near = rest.join(bound, "cls", "left").withColumn("cross", cross).where(F.col("cross") * 100 >= SIMILARITY * F.col("n")).join(bits, "cls").join(classes.select("cls", "bands"), "cls")
     side = lambda x: near.select("key", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in near.columns if c not in ("key", "cls", "c")])
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near_length() & _near_cross() & _near_bits()
     # A pair that shares several buckets comes from the least of them alone.
@@ -241,20 +254,35 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    roots = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("rep")).select("root", F.col("rep.doc_id").alias("component_id"))
-    of_class = roots.join(least, "root").select("cls", "component_id")
-    out = sketches.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
+    # Only classes with a link have a component to look up; the others' least document is their own.
+    roots = durable(classes.select("cls", "rep").join(labels, "cls"), "near-roots")
+    least = durable(roots.groupBy("root").agg(F.min("rep").alias("rep")).select("root", F.col("rep.doc_id").alias("component_id")), "near-least")
+    linked = spread_join(roots, least, "root").select("cls", "component_id")
+    alone = classes.select("cls", F.col("rep.doc_id").alias("component_id")).join(labels, "cls", "left_anti")
+    of_class = durable(linked.union(alone), "near-component")
+    out = spread_join(sketches.select("doc_id", "text_hash", "n_shingles", "cls"), of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns: of each group the one with the least doc_id."""
+    """The documents that stay, with their own columns: of each group the one with the least doc_id.
+
+    Of rows that repeat the doc_id and the text that stays, one stays (whichever; they differ in other columns at most).
+    """
     found = near_components(docs, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__nd_id"), F.col("text_hash").alias("__nd_hash")).distinct()
-    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__nd_id")) & (text_hash == F.col("__nd_hash")), "left_anti")
+    own = numbered(docs)
+    doc, text = (F.col(own.columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    # Rows with an empty set have no group: each is its own and stays, repeated or not.
+    told = found.select(F.coalesce("doc_id", F.lit(0)).alias("__nd_id"), F.col("doc_id").isNull().alias("__nd_null"), F.col("text_hash").alias("__nd_hash"), (F.col("n_shingles") > 0).alias("set"), "kept")
+    gone = told.where(~F.col("kept")).select("__nd_id", "__nd_null", "__nd_hash").distinct()
+    again = told.where(F.col("kept") & F.col("set")).groupBy("__nd_id", "__nd_null", "__nd_hash").count().where("count > 1").drop("count")
+    keyed = own.withColumns({"__nd_id": F.coalesce(doc.cast("long"), F.lit(0)), "__nd_null": doc.cast("long").isNull(), "__nd_hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+    rest = keyed.join(gone, _ROW, "left_anti")
+    single = rest.join(again, _ROW, "left_anti")
+    # A row of each repeated one: a partial aggregation, so repeats that a third of all rows are don't meet in one task.
+    firsts = rest.join(again, _ROW, "left_semi").groupBy(*_ROW).agg(F.first(F.struct(*own.columns)).alias("r")).select("r.*")
+    return single.select(*own.columns).union(firsts).select(*named(docs.columns))
 
 
 def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
