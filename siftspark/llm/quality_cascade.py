@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a predicate over lazily computed features of one text. On a bounded sample each rule's cost (seconds)
-and selectivity (share rejected) are estimated, and the rules run in falling order of rejections per second, so that
-most bad texts meet a cheap and decisive rule first. The verdict is the conjunction of all rules and so does not
-depend on the order; ``rejected_by`` names the first rule in this order that rejected.
+Every rule is a predicate over lazily computed features of one text. On a random sample over the whole table each rule's
+cost (seconds) and rejections are estimated by one task; the rule with the most rejections per second goes first, and each
+next one is chosen by what it still rejects of the texts that the rules before it let pass. The verdict is the conjunction
+of all rules and so does not depend on the order; ``rejected_by`` names the first rule in this order that rejected. A filter
+stops at a text's first rejection; the report works out the base counts of every text, as they are part of its result.
+
+A word is a run of other than the six ASCII white-space characters, in the counts and in all rules; a letter is what
+Unicode says (``\\p{L}``, so neither digits nor superscripts).
 
 Defined results: null or empty text has no words and fails ``too_few_words``; a text of any length is read whole;
 repeated rows are judged one by one; an empty table gives no rows and keeps the written order of the rules; other
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +32,11 @@ from ._shared import ASCII_SPACE, ship_package
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows that the cost and selectivity estimates look at; it bounds the driver's share, never what is judged.
-SAMPLE_ROWS = 400
+#: Rows, on average, that the cost and selectivity estimates look at, and the seed that draws them; they never bound what is judged.
+SAMPLE_ROWS, SAMPLE_SEED = 400, 17
 _VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class TextFeatures:
@@ -78,7 +84,7 @@ class TextFeatures:
 
     @cached_property
     def n_letter_words(self) -> int:
-        return sum(1 for x in self.text.split() if _LETTER.search(x))
+        return sum(1 for w in self.words if _ASCII_LETTER.search(w) or (not w.isascii() and _LETTER.search(w.decode("utf-8", "surrogatepass"))))
 
 
 @dataclass(frozen=True)
@@ -101,9 +107,12 @@ RULES = (
 
 @dataclass(frozen=True)
 class RuleEstimate:
+    """``hits`` tells for each text of the sample whether the rule rejects it."""
+
     name: str
     seconds: float
     rejected: float
+    hits: tuple[bool, ...] = ()
 
     @property
     def gain(self) -> float:
@@ -111,24 +120,44 @@ class RuleEstimate:
 
 
 def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[RuleEstimate]:
-    """Seconds per text, features from scratch included, and share rejected of each rule."""
+    """Seconds per text, features from scratch included, and rejections of each rule."""
     out = []
     for rule in rules:
         began = time.perf_counter()
-        hits = sum(rule.rejects(TextFeatures(t)) for t in texts)
-        out.append(RuleEstimate(rule.name, (time.perf_counter() - began) / max(len(texts), 1), hits / max(len(texts), 1)))
+        hits = tuple(rule.rejects(TextFeatures(t)) for t in texts)
+        out.append(RuleEstimate(rule.name, (time.perf_counter() - began) / max(len(texts), 1), sum(hits) / max(len(texts), 1), hits))
     return out
 
 
 def order_rules(estimates: list[RuleEstimate], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """Most rejections per second first; ties keep the written order."""
-    gain = {e.name: e.gain for e in estimates}
-    return tuple(sorted(rules, key=lambda r: -gain[r.name]))
+    """Most rejections per second first, each counted on what the rules before let pass; ties keep the written order."""
+    left, passed, order = list(estimates), None, []
+    while left:
+        if all(e.hits for e in left):
+            passed = passed or [True] * len(left[0].hits)
+            now = [RuleEstimate(e.name, e.seconds, sum(h and p for h, p in zip(e.hits, passed, strict=True)) / len(passed)) for e in left]
+        else:
+            now = left
+        k = max(range(len(left)), key=lambda i: (now[i].gain, -i))
+        if passed:
+            passed = [p and not h for p, h in zip(passed, left[k].hits, strict=True)]
+        order.append(left.pop(k).name)
+    return _by_name(order, rules)
 
 
 def plan_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    rows = docs.select(F.col(text_col).alias("t")).limit(sample_rows).collect()
-    return order_rules(estimate([r[0] for r in rows], rules), rules)
+    """The rules in their order. One task estimates; the driver gets the names alone."""
+    texts = docs.select(F.col(text_col).alias("t"))
+    share = min(1.0, sample_rows / max(texts.count(), 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [t for pdf in batches for t in pdf["t"]]
+        yield pd.DataFrame({"name": [r.name for r in order_rules(estimate(seen, rules), rules)]})
+
+    # Twice the rows that a share yields on average: the limit is there for the estimating task's memory.
+    drawn = texts.sample(share, SAMPLE_SEED).limit(2 * sample_rows).coalesce(1)
+    names = [r.name for r in drawn.mapInPandas(run, "name string").collect()]
+    return _by_name(names[: len(rules)], rules) if names else rules
 
 
 def judge(text: str | None, ordered: tuple[Rule, ...]) -> tuple[TextFeatures, str | None]:
