@@ -11,8 +11,8 @@ The language with the lowest cross-entropy per character wins. ``score`` is its
 square root of the length. A fold of the sample that is not counted calibrates rejection: for each language, the
 ``QUANTILE`` of its texts' excess cross-entropy, scaled by the square root of length, bounds what is accepted.
 
-The models learn from a bounded sample: at most ``ROWS_PER_LANGUAGE`` labelled rows of each language, those with the least
-hashes of doc_id. Every text is predicted whole, without a shuffle.
+The models learn from a bounded sample: of each language at most ``ROWS_PER_LANGUAGE`` labelled rows of at most ``SAMPLE_CHARS``
+characters each, those with the least hashes of doc_id; of more than ``LANGUAGES`` labels the most frequent are learned. Every text is predicted whole, long ones slice by slice, without a shuffle.
 
 Defined results: null text and text without a letter are ``und`` with score 0; null labels and null ids are not learned from;
 with nothing to learn from all are ``und``; ties go to the first language by name; repeated rows are predicted one by one; an
@@ -31,31 +31,40 @@ from pyspark.sql import functions as F
 
 from ._shared import ship_package, worker_cache
 
-ORDER, ROWS_PER_LANGUAGE, QUANTILE = 4, 400, 0.999
+ORDER, LANGUAGES, ROWS_PER_LANGUAGE, SAMPLE_CHARS, QUANTILE = 4, 256, 400, 50_000, 0.999
 UNKNOWN = "und"
-#: Characters that are looked up together; it bounds the worker's arrays.
-_CHUNK = 400_000
+#: Characters that are looked up together; it bounds the worker's arrays. Longer texts are cut, behind a space if one is near.
+_CHUNK, _NEAR = 400_000, 1000
 _PRIME = np.uint64(0x100000001B3)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_GAP = 0
+_GAP, _DRAW = 0, 1 << 40
 
 
 def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def codes(texts: list[str]) -> np.ndarray:
-    """Code points of the normalised texts, each text behind a gap."""
-    raw = np.frombuffer("".join("\x00 " + t.replace("\x00", " ").lower() + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _collapsed(text: str) -> np.ndarray:
+    """Code points with every run of other than letters as one space; zeros are gaps and stay."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = worker_cache("letters", _letters)[raw]
     gap = raw == _GAP
     space = ~letter & ~gap
     keep = ~space
-    keep[0] = True
+    keep[:1] = True
     keep[1:] |= space[1:] & ~space[:-1]
     return np.where(letter | gap, raw, 32)[keep].astype(np.uint64)
 
 
+def _shown(text: str) -> str:
+    return text.replace("\x00", " ").lower()
+
+
+def codes(texts: list[str]) -> np.ndarray:
+    """Code points of the normalised texts, each text behind a gap and between two spaces."""
+    return _collapsed("".join(f"\x00 {_shown(t)} " for t in texts))
+
+
 def ngram_keys(c: np.ndarray, n: int) -> np.ndarray:
     """The hash of the n characters that end at each position from n - 1 on."""
     key = np.full(len(c) - n + 1, n, np.uint64)
@@ -89,6 +98,27 @@ class Models:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) nats a character, and the characters of each text."""
         c = codes(texts)
+        gap, total = c == _GAP, self._logp(c)
+        begins = np.flatnonzero(gap)
+        sums = np.add.reduceat(total.astype(np.float64), begins, axis=0)
+        chars = np.add.reduceat((~gap).astype(np.int64), begins)
+        return -sums / np.maximum(chars, 1)[:, None], chars
+
+    def long_entropy(self, text: str, chunk: int = _CHUNK) -> tuple[np.ndarray, int]:
+        """The same for one text of any length, slice by slice; each slice sees the characters before it."""
+        sums, chars, at = np.zeros(len(self.languages)), 0, 0
+        before = np.array([_GAP], np.uint64)
+        while at < len(text):
+            end = len(text) if at + chunk >= len(text) else text.rfind(" ", at + chunk - min(_NEAR, chunk // 2), at + chunk) + 1 or at + chunk
+            own = _collapsed(" " * (at == 0) + _shown(text[at:end]) + " " * (end == len(text)))
+            own = own[1:] if before[-1] == 32 and own[0] == 32 else own
+            c = np.concatenate([before, own])
+            sums += self._logp(c)[len(before) :].sum(axis=0, dtype=np.float64)
+            chars, before, at = chars + len(own), c[-max(1, len(self.grams) - 1) :], end
+        return -sums / max(chars, 1), chars
+
+    def _logp(self, c: np.ndarray) -> np.ndarray:
+        """(characters x languages): the log probability of each character after those before it; 0 for gaps."""
         n_lang, gap = len(self.languages), c == _GAP
         total = np.zeros((len(c), n_lang), np.float32)
         todo = np.flatnonzero(~gap)
@@ -111,10 +141,7 @@ class Models:
             elif n == 1:
                 total[miss] += self.floor + self.backoff[0][0]
             todo = np.concatenate([todo[todo < n - 1], miss]) if n > 1 else miss
-        begins = np.flatnonzero(gap)
-        sums = np.add.reduceat(total.astype(np.float64), begins, axis=0)
-        chars = np.add.reduceat((~gap).astype(np.int64), begins)
-        return -sums / np.maximum(chars, 1)[:, None], chars
+        return total
 
 
 def _table(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +226,10 @@ def predict(models: Models | None, texts: list[str | None]) -> pd.DataFrame:
                 group.append(asked[at])
                 held += len(texts[asked[at]])
                 at += 1
-            h, chars = models.entropies([texts[i] for i in group])
+            if held <= _CHUNK:
+                h, chars = models.entropies([texts[i] for i in group])
+            else:
+                h, chars = (np.array([x]) for x in models.long_entropy(texts[group[0]]))
             win = h.argmin(axis=1)
             low = h[np.arange(len(group)), win]
             share = 1 / np.exp(-(h - low[:, None]) * np.sqrt(chars)[:, None]).sum(axis=1)
@@ -216,14 +246,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, order: int = ORDER) -> Models | None:
-    """Models from the sample: narrow columns choose the rows, and only those rows' texts come to the driver."""
-    key = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & ~held_out(F.col("i")))
-    chosen = key.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= rows).select("i").distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    """Models from the sample. Labels are counted first, so that only rows with low hashes, some more than are taken, are ranked."""
+    labelled = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(_DRAW)).alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isNotNull() & ~held_out(F.col("i")))
+    counts = labelled.groupBy("l").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(LANGUAGES)
+    # Three times the share that yields ``rows`` on average; small languages are taken whole.
+    low = labelled.join(F.broadcast(counts), "l").where(F.col("h") / _DRAW < 3 * rows / F.col("c"))
+    usable = low.where(F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))
     samples: dict[str, list[str]] = {}
-    for r in texts.orderBy("i", "t").collect():
+    for r in usable.withColumn("r", rank).where(F.col("r") <= rows).orderBy("l", "r").select("l", "t").collect():
         samples.setdefault(r.l, []).append(r.t)
-    samples = {k: v[:rows] for k, v in samples.items() if any(any(map(str.isalpha, t)) for t in v)}
+    samples = {k: v for k, v in samples.items() if any(any(map(str.isalpha, t)) for t in v)}
     return train(samples, order) if samples else None
 
 
