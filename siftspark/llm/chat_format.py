@@ -21,7 +21,7 @@ so fits in one task by definition; an empty table gives no rows; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SEP, CLOSE = "### ", ": ", " </turn>\n"
@@ -75,19 +75,14 @@ def render_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start, length), rounds. The grouping moves each text once."""
     t = render_turns(rows, conv_col, turn_col, role_col, text_col)
-    piece = F.struct("__cf_turn", "role", "text", "rendered", "round")
-    g = t.groupBy("__cf_conv").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
+    # Where each turn starts is a running sum in the order of the turns; the window and the grouping share one shuffle.
+    order = Window.partitionBy("__cf_conv").orderBy("__cf_turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = t.withColumn("start", F.coalesce(F.sum(F.length("rendered").cast("long")).over(order), F.lit(0))).withColumn("body", parse_turn(F.col("rendered")))
+    piece = F.struct("start", "rendered", "round", (F.col("role") == LOSS_ROLE).alias("on"), (F.col("start") + F.col("body.at")).cast("int").alias("at"), F.col("body.n").alias("n"))
+    g = placed.groupBy("__cf_conv").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda x: x["rendered"]), "")
-    # Each turn carries the place of its body; the fold adds the lengths before it.
-    spans = F.aggregate(
-        F.transform("turns", lambda x: F.struct((x["role"] == LOSS_ROLE).alias("on"), F.length(x["rendered"]).alias("len"), parse_turn(x["rendered"])["at"].alias("at"), parse_turn(x["rendered"])["n"].alias("n"))),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["end"] + x["len"]).alias("end"),
-            F.when(x["on"], F.concat(s["spans"], F.array(F.struct((s["end"] + x["at"]).alias("start"), x["n"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    return g.select(F.col("__cf_conv").alias("conv_id"), formatted.alias("formatted"), spans["spans"].alias("loss_spans"), F.array_max(F.transform("turns", lambda x: x["round"])).alias("rounds"))
+    spans = F.transform(F.filter("turns", lambda x: x["on"]), lambda x: F.struct(x["at"].alias("start"), x["n"].alias("length")))
+    return g.select(F.col("__cf_conv").alias("conv_id"), formatted.alias("formatted"), spans.alias("loss_spans"), F.array_max(F.transform("turns", lambda x: x["round"])).alias("rounds"))
 
 
 def parse_formatted(formatted: Column) -> Column:
