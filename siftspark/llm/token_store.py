@@ -156,7 +156,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids."""
     ship_package(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    placed = blocks.join(shard_bases(blocks), "shard").select((F.col("base") + F.col("shard_start")).alias("base"), "data")
+    # A row a write task, whose number the driver's own bookkeeping bounds.
+    placed = blocks.join(F.broadcast(shard_bases(blocks)), "shard").select((F.col("base") + F.col("shard_start")).alias("base"), "data")
     return placed.mapInArrow(_reader, DOCS).withColumnRenamed("local_start", "start")
 
 
