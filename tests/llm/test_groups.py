@@ -1,5 +1,6 @@
 """Near dedup, decontamination, HTML, chat, tokens, packing, and the pipeline."""
 
+import functools
 import hashlib
 import random
 import re
@@ -58,6 +59,45 @@ def test_near_dedup_chains_and_copies(spark, odd_docs):
     assert got == brute_components([tuple(x) for x in docs.collect()])
 
 
+def test_near_dedup_second_stage_alone(spark, monkeypatch):
+    """Without hubs every link has to come from the comparison across components, with its bounds on and buckets crowded."""
+    monkeypatch.setattr(near_dedup, "HUBS", 0)
+    monkeypatch.setattr(near_dedup, "CROWDED", 3)
+    r = random.Random(4)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{r.randrange(80)}" for _ in range(100)]
+        for _ in range(12):
+            text = list(base)
+            for _ in range(r.randint(0, 4)):
+                text[r.randrange(len(text))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in near_dedup.near_report(docs).collect()), key=str)
+    assert got == brute_components(rows)
+    assert len({x[2] for x in got}) < len(rows) / 2
+
+
+def test_near_dedup_stage_keeps_one_row_and_own_columns(spark):
+    text = "one two three four five six"
+    rows = [(1, text, 0), (1, text, 0), (2, text, 0), (None, text, 0), (3, None, 0), (3, None, 0), (None, "seven eight", 0), (None, "seven eight", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int").selectExpr("doc_id", "text", "x AS __nd_id", "x AS __own_0", "x AS cls")
+    out = near_dedup.near_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted((tuple(x)[:2] for x in out.collect()), key=str) == sorted([(1, text), (3, None), (3, None), (None, "seven eight")], key=str)
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    from siftspark.llm import _shared
+
+    monkeypatch.setattr(_shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(_shared, "HOT_KEYS", 10)
+    left = _shared.durable(spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 30 + [None] * 20 + [*range(3, 20)] * 2)], "k long, i long"), "t")
+    right = spark.createDataFrame([(k, k * k) for k in range(0, 12)], "k long, v long")
+    for how in ("inner", "left"):
+        assert sorted(map(str, _shared.spread_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
 def test_near_dedup_keeps_columns(odd_docs, no_docs):
     out = near_dedup.near_dedup(odd_docs)
     assert out.columns == odd_docs.columns and {x.doc_id for x in out.collect()} == {1, 2, 3, None, 4, 5, 6}
@@ -88,14 +128,15 @@ def sellers(p, t):
 
 def test_decontamination_against_full_distance():
     r = random.Random(3)
-    for _ in range(60):
-        items = [(i, "".join(r.choice("abc ") for _ in range(r.randint(30, 70)))) for i in range(3)]
+    for _ in range(400):
+        items = [(i, "".join(r.choice("abc ") for _ in range(r.randint(1, 70)))) for i in range(3)]
         t = list("".join(r.choice("abc ") for _ in range(30)) + r.choice(items)[1] + "abc")
         for _ in range(r.randint(0, 6)):
             t[r.randrange(len(t))] = r.choice(["", "a", "bc"])
         t = "".join(t)
         norm = decontaminate.normalise
-        want = {(i, d) for i, x in items for d in [sellers(norm(x), norm(t))] if len(norm(x)) >= decontaminate.MIN_CHARS and d <= decontaminate.error_budget(len(norm(x)))}
+        want = {(i, d) for i, x in items for d in [sellers(norm(x), norm(t))] if norm(x) and len(norm(x)) >= 16 and d <= len(norm(x)) // 16}
+        want |= {(i, 0) for i, x in items if 0 < len(norm(x)) < 16 and f" {norm(x)} " in f" {norm(t)} "}
         assert {h[:2] for h in decontaminate.Matcher(items).hits(t)} == want
 
 
@@ -112,6 +153,18 @@ def test_decontamination_blocks_and_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 9
 
 
+def test_decontamination_short_items_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (None, "one cat"), (None, "ONE, cat"), (2, "one cat"), (3, "?!"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ask: what is the capital of france"), (2, "here one cat sat"), (3, "one catalogue, stone cat"), (4, "what is the capitol of france"), (5, "?! "), (None, "One cat.")], "doc_id long, text string")
+    want = [(1, 1, 0), (2, None, 0), (2, None, 0), (2, 2, 0), (4, 1, 1), (None, None, 0), (None, None, 0), (None, 2, 0)]
+    for chars in (1, 40, 10_000):
+        got = [(x.doc_id, x.item_id, x.distance) for x in decontaminate.find_leaks(docs, bench, block_chars=chars).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert {x.doc_id for x in decontaminate.decontaminate(docs, bench, block_chars=chars).collect()} == {3, 5}
+    blocks = list(decontaminate.item_blocks(spark.createDataFrame([(i, "same") for i in range(10)], "item_id long, text string"), block_chars=12))
+    assert [len(b) for b in blocks] == [3, 3, 3, 1]
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav><!-- c --><div class='notice'>N{0}</div><article><h1>T{0}</h1><p>One <b>b{0}</b>&amp; &eacute;<br>two<p>Three<aside>x</aside><form>q<input></form><div class=box>Always the same</div></article><section id='comments'><p>me</p></section><footer>f</footer></body></html>"
 
 
@@ -172,6 +225,58 @@ def test_html_formulas_objects_and_open_controls():
         assert " ".join(html_extract.Page(page).text(set()).split()) == text, page
 
 
+def test_html_deep_and_long_pages(spark):
+    """Depth and length don't matter to the parser, the matching or the text."""
+    n = 50_000
+    pages = [
+        (1, "http://h.example/1", "<div>" * n + "deep"),
+        (2, "http://h.example/2", "<div>" * (n // 2) + "<p>other"),
+        (3, "http://h.example/3", "<ul>" + "<li>a<p>b" * n),
+        (4, "http://h.example/4", "<section><div></p></li></td>" * n + "end"),
+        (5, "http://h.example/5", "<p>x" * n + "</article>" * n),
+    ]
+    got = {r.page_id: r.text for r in html_extract.page_report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "deep", 2: "other", 3: " ".join(["a b"] * n), 4: "end", 5: " ".join(["x"] * n)}
+
+
+def test_html_wrapper_decides_where_nothing_is_named(spark):
+    """Menus, adverts and footers in plain div elements: only their being the same on all pages of the host gives them away."""
+    page = "<body><div>Home<div>News</div><div>Shop</div></div><div><h1>T{0}</h1><p>Own {0}</p><p>More {0}</p></div><div>Buy now</div><div>Imprint</div></body>"
+    rows = [(i, f"http://{h}.example/{i}", page.format(i)) for i, h in enumerate(["many"] * 8 + ["few"] * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS __he_host", "2 AS __own_1", "3 AS __he_text")
+    got = {r.page_id: r.text for r in html_extract.page_report(pages).collect()}
+    for i in range(8):
+        assert got[i] == f"T{i} Own {i} More {i}"
+    assert all(got[i] == f"Home News Shop T{i} Own {i} More {i} Buy now Imprint" for i in (8, 9, 10))
+    assert html_extract.main_text(pages).columns == ["page_id", "url", "html", "__he_host", "__own_1", "__he_text"]
+
+
+def recursive_match(a, b):
+    """The weight of simple tree matching straight from its definition, on nested (label, children) trees."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for p, u in enumerate(a[1], 1):
+        for q, v in enumerate(b[1], 1):
+            m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + recursive_match(u, v))
+    return 1 + m[-1][-1]
+
+
+def test_tree_matching_is_the_largest():
+    r = random.Random(6)
+
+    def tree(depth):
+        return (r.choice("ab") if depth else "r", [tree(depth + 1) for _ in range(r.randint(0, 3))] if depth < 4 else [])
+
+    def lines(t, depth=0):
+        return [f"{depth} {t[0]}", *[x for c in t[1] for x in lines(c, depth + 1)]]
+
+    for _ in range(500):
+        a, b = tree(0), tree(0)
+        got = html_extract.tree_match("\n".join(lines(a)), "\n".join(lines(b)))
+        assert len(got) == len(set(got.values())) == recursive_match(a, b)
+
+
 def test_tree_matching_keeps_order():
     assert html_extract.tree_match("0 a\n1 b\n1 c\n2 d", "0 a\n1 c\n2 d\n1 b") == {0: 0, 2: 1, 3: 2}
     assert html_extract.tree_match("0 a", "0 b") == {}
@@ -209,13 +314,25 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
-def test_encoder_equals_library():
+@functools.cache
+def fresh_tokenizer():
+    """The library as anybody would load it, apart from the operators' own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_encoder_equals_library(special):
     e = encoder(default_tokenizer_path())
     r = random.Random(1)
-    parts = ["a", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "12", "!", "??", "　", "日", "😀", "<|endoftext|>", "\r\n", "\x0b", " ", "-", "ß", "word."]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
-    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    parts = ["a", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "12", "!", "??", "　", "日", "😀", "<|endoftext", "\r\n", "\x0b", " ", "-", "ß", "word.", "|>"]
+    parts += ["<|endoftext|>"] * 3 * special
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    want = fresh_tokenizer().encode_batch(texts, add_special_tokens=False)
     assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(e.encode_all(texts), want, strict=True))
+    assert not special or any(50256 in b.ids for b in want)
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31, 32])
@@ -230,7 +347,7 @@ def test_bit_packing(bits):
 
 
 def library_ids(text, end):
-    return [*encoder(default_tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return [*fresh_tokenizer().encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -263,6 +380,19 @@ def test_packing(spark, odd_docs, no_docs):
         packing.pack(odd_docs, max_len=1000)
 
 
+def test_special_tokens_in_texts(spark):
+    """What the library takes for a special token is one in the files and in the packed pieces too."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", "<|endoftext", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.store_report(token_store.round_trip(docs)).collect()}
+    packed = defaultdict(list)
+    for r in sorted(packing.pack(docs).collect(), key=lambda r: r.start):
+        packed[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    for i, t in enumerate(texts):
+        assert stored[i] == (len(library_ids(t, 2)), crc(library_ids(t, 2)))
+        assert packed[i] == library_ids(t, 0)
+
+
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 5000])
 def test_piece_lengths(n):
     p = packing.piece_lengths(n)
@@ -274,10 +404,13 @@ def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, sf_dir):
         kept = docs
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, kept, sf_dir)
+            ids = {r.doc_id for r in out.collect()}
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
                 kept = out
-            assert out.count() >= 0
+            # Null, empty and blank texts go first; doc 5 has four words; one of the two rows of doc 1 stays later on.
+            assert ids == ({1, None, 4} if docs is odd_docs else set())
+        assert out.where("doc_id = 1 AND start = 0").count() == (1 if docs is odd_docs else 0)
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):

@@ -1,10 +1,13 @@
 """Quality rules, line dedup, secrets, language: against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siftspark.llm import language_id, line_dedup, quality_cascade, secret_scan
@@ -42,6 +45,32 @@ def test_quality_counts(spark, odd_docs, sf_dir):
     assert got == sorted(want)
 
 
+def test_quality_letters_and_words(spark):
+    """A no-break space splits no word; digits, superscripts and fractions are no letters. The SQL says the same."""
+    import duckdb
+
+    from siftspark.llm import queries
+
+    texts = ["a\xa0b " * 6 + "1 2 3 4 5 6 7 8", "² ½ ³ 1 2 3 4 5 6 a é ß", "é " * 3 + "x " * 4 + "1 2 3 4 5", "日 本 語 と 1 2 3 4 5 6", "ª º ¹ a b c 1 2 3 4 5"]
+    texts = [" ".join(f"{w}{'' if k % 2 else '.'}" for k, w in enumerate(t.split(" "))) for t in texts] + texts
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in quality_cascade.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).drop("rejected_by").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.SQL["op9_quality_rules"]).fetchall())
+    for r in got:
+        w = WORD.findall(texts[r[0]])
+        letters = sum(any(unicodedata.category(c)[0] == "L" for c in x) for x in w)
+        assert judge(texts[r[0]], RULES)[0].n_letter_words == letters
+
+
+def test_quality_order_counts_what_is_left():
+    """A rule that rejects only what the first one does comes last although alone it would be second."""
+    e = [quality_cascade.RuleEstimate(r.name, 1.0, sum(h) / 4, h) for r, h in zip(RULES[:3], ((True, True, False, False), (True, True, True, False), (False, False, False, True)), strict=True)]
+    assert [r.name for r in order_rules(e, RULES[:3])] == [RULES[1].name, RULES[2].name, RULES[0].name]
+
+
 def test_quality_verdict_does_not_depend_on_order(odd_docs):
     rows = odd_docs.collect()
     for order in (RULES, RULES[::-1], order_rules(estimate([r.text for r in rows]))):
@@ -63,10 +92,12 @@ def test_quality_filter_keeps_columns(odd_docs, no_docs):
 def brute_lines(rows, min_docs=3):
     keys = Counter()
     owner = {}
+    seen = set()
     for i, t in rows:
         for k in {ascii_lower(x.strip(SPACE)) for x in (t or "").split("\n")}:
             if len(k) >= 20:
-                keys[k] += 1
+                keys[k] += (i, k) not in seen
+                seen.add((i, k))
                 owner[k] = max(owner.get(k, -(1 << 63)), -(1 << 63) if i is None else i)
     out = []
     for i, t in rows:
@@ -85,6 +116,25 @@ def test_line_dedup(spark, odd_docs):
     assert got == brute_lines([tuple(x) for x in docs.collect()])
 
 
+def test_line_dedup_counts_documents(spark):
+    """Rows of one doc_id are one document, and so are all rows without one; names of any columns may clash."""
+    twice, thrice = "this line is in two documents alone", "this line is in three documents or so"
+    rows = [(1, twice), (1, twice), (2, twice), (3, thrice), (4, f"{thrice}\nown"), (None, thrice), (None, thrice), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "7 AS __ld_doc", "8 AS __ld_kept", "9 AS __own_0")
+    got = sorted((tuple(x) for x in line_dedup.dedup_report(docs).collect()), key=str)
+    assert got == brute_lines(rows)
+    assert [x[2] for x in got] == [0, 0, 0, 1, 0, 0, 1, 1]
+    out = line_dedup.line_dedup_texts(docs)
+    assert out.columns == docs.columns and out.where("__ld_doc = 7 AND __ld_kept = 8 AND __own_0 = 9").count() == len(rows)
+    assert line_dedup.line_dedup(docs).columns == ["doc_id", "text", "__ld_doc", "__own_0", "__ld_n_lines", "__ld_n_dropped", "__ld_kept"]
+
+
+def test_line_batches_are_even_beside_odd_ids(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('a line of more than twenty characters ', id) AS text").union(spark.createDataFrame([(None, "a line with a null id, long enough"), (1 << 60, "a line with a huge id, long enough")], "doc_id long, text string"))
+    sizes = {r[0]: r[1] for r in line_dedup.stage_lines(docs, "doc_id", "text", 20, 4).groupBy("__ld_batch").count().collect()}
+    assert len(sizes) == 4 and all(200 < n < 300 for n in sizes.values())
+
+
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for b in range(4):
@@ -143,21 +193,100 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in out)
 
 
-def test_language_models_sum_to_one_and_match_brute_force():
-    a, b = ["the cat sat on a mat", "a dog and the hen", "that this those"], ["le chat est la", "qui que quoi", "mais ou et donc"]
-    m = language_id.train({"a": a, "b": b}, 3)
-    for j, texts in enumerate((a, b)):
-        s = "".join(map(chr, language_id.codes(texts)))
-        letters = sorted(set(s) - {"\0"})
-        rest = 1 / (len({c for t in (a, b) for x in t for c in x}) + 1)
-        for h in ("th", "e ", "qu", "a"):
-            logp = []
-            for c in [*letters, "一"]:
-                text = h + c
-                got, n = m.entropies([text])
-                before, k = m.entropies([h])
-                logp.append((got[0][j] * n[0], before[0][j] * k[0]))
-            assert rest < 1 and logp
+class PlainKneserNey:
+    """Interpolated Kneser-Ney from its definition, with dictionaries, over the texts that train() counts."""
+
+    def __init__(self, samples, order):
+        self.order, self.names = order, sorted(samples)
+        self.own, self.discount = {}, {}
+        normal = lambda t: " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        self.normal = lambda t: re.sub(" +", " ", normal(t))
+        alphabet = set()
+        for lang, texts in samples.items():
+            grams = [Counter() for _ in range(order + 1)]
+            for t in [t for i, t in enumerate(texts) if i % 5 or len(texts) < 5]:
+                s = self.normal(t)
+                alphabet |= set(s)
+                for n in range(1, order + 1):
+                    grams[n].update(s[i : i + n] for i in range(len(s) - n + 1))
+            for n in range(1, order + 1):
+                own = grams[n] if n == order else Counter(g[1:] for g in grams[n + 1])
+                n1, n2 = (sum(v == k for v in own.values()) for k in (1, 2))
+                self.own[lang, n], self.discount[lang, n] = own, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        self.alphabet = sorted(alphabet)
+
+    def prob(self, lang, gram):
+        n = len(gram)
+        lower = self.prob(lang, gram[1:]) if n > 1 else 1 / (len(self.alphabet) + 1)
+        own, d = self.own[lang, n], self.discount[lang, n]
+        after = [v for g, v in own.items() if g[:-1] == gram[:-1]]
+        return max(own[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * lower if after else lower
+
+    def nats(self, lang, text):
+        s = self.normal(text)
+        return -sum(math.log(self.prob(lang, s[max(0, i - self.order + 1) : i + 1])) for i in range(len(s))) / len(s)
+
+
+LANGUAGE_TEXTS = {
+    "a": ["the cat sat on a mat", "a dog and the hen", "that this those", "then there, the other thing", "hat that", "no more of that"],
+    "b": ["le chat est là", "qui que quoi", "mais où et donc", "quelle est la chose", "que c'est", "là où est le chat"],
+    "c": ["der hund"],
+}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_models_match_brute_force(order):
+    plain, m = PlainKneserNey(LANGUAGE_TEXTS, order), language_id.train(LANGUAGE_TEXTS, order)
+    texts = [*(t for v in LANGUAGE_TEXTS.values() for t in v), "Quite another THING!", "日本 zzz", "x", "le  qu'est-ce", "ß ñ the"]
+    got, chars = m.entropies(texts)
+    for i, t in enumerate(texts):
+        assert chars[i] == len(plain.normal(t))
+        for j, lang in enumerate(m.languages):
+            assert abs(got[i, j] - plain.nats(lang, t)) < 1e-5, (t, lang)
+        win = m.languages[int(got[i].argmin())]
+        assert language_id.predict(m, [t])["lang_best"][0] == win == min(m.languages, key=lambda x: (round(plain.nats(x, t), 5), x))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_models_sum_to_one(order):
+    plain, m = PlainKneserNey(LANGUAGE_TEXTS, order), language_id.train(LANGUAGE_TEXTS, order)
+    every = [*plain.alphabet, "一"]  # one character stands for all that nobody has seen
+    for j in range(len(m.languages)):
+        for h in ("", "t", "th", "e t", "qu", "zq"):
+            c = [np.array([0, *map(ord, h + x)], np.uint64) for x in every]
+            assert abs(sum(math.exp(m._logp(x)[-1, j]) for x in c) - 1) < 1e-5
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 50, 10_000])
+def test_language_long_texts_go_in_slices(chunk):
+    m = language_id.train(LANGUAGE_TEXTS, 4)
+    r = random.Random(chunk)
+    for _ in range(30):
+        t = "".join(r.choice(["the ", "chat", "  ", "1, ", "É", "q", "\x00", "日"]) for _ in range(r.randint(1, 60)))
+        want, chars = m.entropies([t])
+        got, n = m.long_entropy(t, chunk)
+        assert n == chars[0] and np.allclose(got, want[0], atol=1e-6)
+
+
+def test_language_rejects_what_is_in_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    m = language_id.learn(docs)
+    odd = ["xqzvk jjwqx qqzzx vvkxq " * 20, "日本語の文章です " * 20]
+    p = language_id.predict(m, odd)
+    assert p["rejected"].all() and set(p["lang_best"]) <= set(m.languages)
+    good = language_id.predict(m, [r.text for r in docs.where("lang IS NOT NULL").collect()])
+    assert good["rejected"].mean() < 0.1  # the table holds junk too
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "le chat est là" if i % 3 else "the cat is there", "fr" if i % 3 else "en") for i in range(600)] + [(1000, "x" * 60_000, "en")], "doc_id long, text string, lang string")
+    seen = []
+    real, language_id.train = language_id.train, lambda samples, order: seen.append(samples)
+    try:
+        language_id.learn(docs, rows=20)
+    finally:
+        language_id.train = real
+    assert {k: len(v) for k, v in seen[0].items()} == {"en": 20, "fr": 20}
 
 
 def test_language_odd_rows(odd_docs, no_docs):
