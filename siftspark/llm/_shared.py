@@ -68,18 +68,23 @@ def named(columns: list[str]) -> list[Column]:
 HOT_KEYS, HOT_ROWS = 2000, 500
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", rows_of_key: str | None = None) -> DataFrame:
     """left join right on key (how: inner or left), where right has one row a key, without a task that gets all rows of a hot key.
 
     The rows of left with a hot key stay where they are: the few rows of right that they need are broadcast. All others are
     shuffled. left and right are read up to three times, so both should be written tables. Null keys match nothing.
+    ``rows_of_key`` names a column of left that says how many rows the key has, if there is one.
     """
     key = [key] if isinstance(key, str) else key
     total = left.count()
     if total <= HOT_ROWS:
         return left.join(right, key, how)
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = durable(left.groupBy(*key).count().where((F.col("count") > least) & ~sum((F.col(k).isNull().cast("int") for k in key), F.lit(0)).cast("boolean")).select(*key), "hot-keys")
+    if rows_of_key:
+        often = left.where(F.col(rows_of_key) > least).select(*key).distinct()
+    else:
+        often = left.groupBy(*key).count().where(F.col("count") > least).select(*key)
+    hot = durable(often.na.drop(), "hot-keys")
     if hot.isEmpty():
         return left.join(right, key, how)
     wanted = durable(right.join(F.broadcast(hot), key, "left_semi"), "hot-rows")

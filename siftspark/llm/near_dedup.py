@@ -226,8 +226,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = durable(banded.join(crowds, "key"), "near-members")
     weights = members.groupBy("cls").agg(F.sum("c").alias("w"))
     central = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "cls"))
-    hubs = members.join(weights, "cls").select("key", "cls", "n", "w").withColumn("place", central).where(F.col("place") <= HUBS).select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    stars = members.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b")).join(hubs, "key").where((F.col("a") != F.col("b")) & _near_length())
+    placed = members.join(weights, "cls").select("key", "cls", "n", "w").withColumn("place", central).where(F.col("place") <= HUBS)
+    hubs = durable(placed.groupBy("key").agg(F.collect_list(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"))).alias("hubs")), "near-hubs")
+    met = spread_join(members.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), "c"), hubs, "key", rows_of_key="c")
+    stars = met.select("b", "n_b", F.inline("hubs")).where((F.col("a") != F.col("b")) & _near_length())
     stars = durable(stars.select("a", "b").distinct(), "near-stars")
     links = durable(verify(stars, classes, rows), "near-links")
     labels = components(links)
