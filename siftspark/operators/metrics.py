@@ -63,9 +63,15 @@ def question_metrics(questions: DataFrame, rankings: DataFrame, judgments: DataF
 METRICS = ("rr", "top1", "recall5", "ndcg5", "recall10", "ndcg10")
 
 
+def _exact_mean(value: Column) -> Column:
+    """The mean of figures with six digits, half up at the sixth: whole millionths are summed, so no order of a sum decides a half."""
+    total, n = F.sum(F.round(value * 1_000_000).cast("long")), F.count(value)
+    return F.when(n > 0, F.call_function("div", 2 * total + n, 2 * n) / 1_000_000)
+
+
 def mean_metrics(per_question: DataFrame) -> list[Column]:
     """Means over answerable questions alone."""
-    return [F.count("*").alias("questions"), F.sum(F.col("answerable").cast("long")).alias("answerable_questions"), *[F.round(F.avg(F.when(F.col("answerable"), F.col(m))), 6).alias(m) for m in METRICS]]
+    return [F.count("*").alias("questions"), F.sum(F.col("answerable").cast("long")).alias("answerable_questions"), *[_exact_mean(F.when(F.col("answerable"), F.col(m))).alias(m) for m in METRICS]]
 
 
 def grouped_metrics(per_question: DataFrame, keys: tuple[str, ...] = ("category", "difficulty", "split")) -> DataFrame:

@@ -39,7 +39,7 @@ def build_bm25_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", tex
     R.postings(chunks, id_col, text_col).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     R.corpus_stats(chunks, text_col).write.mode("overwrite").parquet(f"{path}/stats")
     post = spark.read.parquet(f"{path}/postings")
-    R.term_stats(post, spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
+    R.term_stats(post.groupBy("term").agg(F.count("*").alias("df")), spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
     facts = chunks.agg(F.count("*").alias("chunks"), F.sum(F.xxhash64(id_col, text_col).cast("decimal(38,0)")).cast("string").alias("content"))
     facts.withColumns({"k1": F.lit(k1), "b": F.lit(b), "settings": F.lit(settings_hash({"k1": k1, "b": b}))}).write.mode("overwrite").json(f"{path}/manifest")
 

@@ -24,7 +24,7 @@ def a01_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a02_term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    return R.term_stats(R.postings(c), R.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_stats(R.document_frequency(c), R.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def a03_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
