@@ -7,6 +7,7 @@ given instead where its files are at hand.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 TARGET, OVERLAP, SEARCH_SHARE, LEAST_SEARCH, TAIL = 512, 64, 0.25, 32, 16
 _TOKENS = re.compile(r"\s*\w+|\s*[^\w\s]|\s+$")
-_SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s*\Z")
+_SENTENCE_ENDS, _CLOSERS = (".", "!", "?"), "\"')]"
 SPANS = "array<struct<chunk_index:int,token_start:int,token_end:int,overlap:int,text:string>>"
 
 
@@ -42,13 +43,39 @@ def regex_spans(text: str) -> list[tuple[int, int]]:
 
 def boundary_priority(tail: str) -> int:
     """4 after an empty line, 3 after a line, 2 after a sentence, 1 after white space, else 0."""
-    if re.search(r"\n[ \t]*\n[ \t]*\Z", tail):
-        return 4
-    if re.search(r"\n[ \t]*\Z", tail):
-        return 3
-    if _SENTENCE_END.search(tail):
+    lines = tail.rstrip(" \t")
+    if lines.endswith("\n"):
+        return 4 if lines[:-1].rstrip(" \t").endswith("\n") else 3
+    words = tail.rstrip()
+    if words.rstrip(_CLOSERS).endswith(_SENTENCE_ENDS):
         return 2
-    return 1 if tail[-1:].isspace() else 0
+    return int(len(words) < len(tail))
+
+
+def bpe_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """The token spans of a tokenizer file, as characters; the file is loaded once in each worker.
+
+    Where a character takes several tokens, the first has it and the others are empty spans behind it, so texts of token spans
+    stay slices of the text and meet without gap.
+    """
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        out, end = [], 0
+        for lo, hi in _tokenizer(path).encode(text, add_special_tokens=False).offsets:
+            out.append((max(lo, end), max(hi, end)))
+            end = max(hi, end)
+        return out
+
+    return spans
+
+
+@functools.cache
+def _tokenizer(path: str):
+    try:
+        from tokenizers import Tokenizer
+    except ImportError as e:
+        raise RuntimeError("the tokenizers library is needed to cut by a tokenizer file") from e
+    return Tokenizer.from_file(path)
 
 
 def split_spans(text: str, settings: ChunkSettings, tokenize: Callable[[str], list[tuple[int, int]]] = regex_spans) -> list[tuple[int, int, int, str]]:
@@ -81,11 +108,11 @@ def _choose_end(text: str, at: list[tuple[int, int]], start: int, total: int, se
     return found
 
 
-def chunks_of(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:  # noqa: B008
+def chunks_of(text: Column, settings: ChunkSettings = ChunkSettings(), tokenize: Callable[[str], list[tuple[int, int]]] = regex_spans) -> Column:  # noqa: B008
     """The chunks of each text as an array, in batches of rows."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"chunk_index": i, "token_start": a, "token_end": b, "overlap": o, "text": t} for i, (a, b, o, t) in enumerate(split_spans(x or "", settings))] for x in texts], dtype=object)
+            yield pd.Series([[{"chunk_index": i, "token_start": a, "token_end": b, "overlap": o, "text": t} for i, (a, b, o, t) in enumerate(split_spans(x or "", settings, tokenize))] for x in texts], dtype=object)
 
     return F.pandas_udf(run, SPANS)(text)

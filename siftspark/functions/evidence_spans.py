@@ -18,11 +18,9 @@ _HEADING = re.compile(r"#{1,6}\s+[^\n]*\Z")
 
 
 def _trim(text: str, lo: int, hi: int) -> tuple[int, int]:
-    while lo < hi and text[lo].isspace():
-        lo += 1
-    while lo < hi and text[hi - 1].isspace():
-        hi -= 1
-    return lo, hi
+    """The part of a span without white space at its ends."""
+    own = text[lo:hi]
+    return hi - len(own.lstrip()), lo + len(own.rstrip())
 
 
 def _cut(text: str, lo: int, hi: int, limit: int) -> Iterator[tuple[int, int, bool]]:

@@ -16,7 +16,7 @@ HEADING_ONLY = r"\A#{1,6}\s+\S[^\n]*\z"
 CHUNK_ID = r"\A(?<doc>[a-z0-9]+-[0-9]{3})-sec-(?<sec>[0-9]{3})-ch-(?<ch>[0-9]{3})\z"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 SHORT_TOKENS = 32
-EVIDENCE_TOKEN = r"[A-Za-z][A-Za-z0-9_-]*|[0-9]+"
+EVIDENCE_TOKEN = r"(?U)[A-Za-z][A-Za-z0-9_-]*|\d+"
 STOP_WORDS = "a an the and or how what which who why where when is are was were be been being of for on in as at to from by with it its these those this that can could would should do does did you your our does not means into than through their them each all every using use used about without while if such set field fields kubernetes pod pods cluster".split()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.chunking import ChunkSettings, chunks_of
+from ..functions.chunking import ChunkSettings, bpe_spans, chunks_of, regex_spans
 
 #: The token buckets of the audit (from, to exclusive).
 BUCKETS = ((0, 1), (1, 16), (16, 32), (32, 64), (64, 128), (128, 256), (256, 384), (384, 512), (512, 513), (513, None))
@@ -118,9 +118,10 @@ def trim_tail(blocks: DataFrame, doc: str, index: str, stop: Column) -> DataFram
     return blocks.withColumn("__seen", seen).where(F.coalesce("__seen", F.lit(0)) == 0).drop("__seen")
 
 
-def build_chunks(sections: DataFrame, key: str = "section_id", text: str = "text", settings: ChunkSettings = ChunkSettings()) -> DataFrame:  # noqa: B008
-    """C4: one row per chunk; sections stay in their rows, so nothing is shuffled."""
-    return sections.select(key, F.explode(chunks_of(F.col(text), settings)).alias("c")).select(key, "c.*", (F.col("c.token_end") - F.col("c.token_start")).alias("token_count"))
+def build_chunks(sections: DataFrame, key: str = "section_id", text: str = "text", settings: ChunkSettings = ChunkSettings(), tokenizer_path: str | None = None) -> DataFrame:  # noqa: B008
+    """C4: one row per chunk; sections stay in their rows, so nothing is shuffled. Tokens are a tokenizer file's, or words."""
+    tokenize = bpe_spans(tokenizer_path) if tokenizer_path else regex_spans
+    return sections.select(key, F.explode(chunks_of(F.col(text), settings, tokenize)).alias("c")).select(key, "c.*", (F.col("c.token_end") - F.col("c.token_start")).alias("token_count"))
 
 
 def chunk_violations(chunks: DataFrame, key: str, settings: ChunkSettings) -> DataFrame:

@@ -112,12 +112,6 @@ def w29_smallest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.orderBy("tokens", "chunk_id").limit(50)
 
 
-def u01_row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    a, b = d.where("doc_id % 9 <> 0").select("doc_id", "lang"), d.where("doc_id % 7 <> 0").select("doc_id", "lang")
-    return C.row_differences(a, b)
-
-
 def u02_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
@@ -128,20 +122,6 @@ def u03_shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", F.array_join(F.array_sort(F.array_intersect(T.evidence_tokens(F.col("text")), asked)), " ").alias("shared"))
 
 
-def u04_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered union: the first list's row wins."""
-    d = read(spark, sf_dir, "documents")
-    both = d.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("list")).unionByName(d.where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("list")))
-    return both.groupBy("doc_id").agg(F.min("list").alias("list"))
-
-
-def k05_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    old = d.where("doc_id % 4 <> 0").select("doc_id", F.sha2("text", 256).alias("sha"))
-    new = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
-    return C.upsert(old, new, "doc_id", "sha")
-
-
 def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events of a user as blocks of a document: three kinds are headings of levels 1 to 6."""
     e = read(spark, sf_dir, "events")
@@ -257,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p07_prepared_chunks, f01_indexable, a06_excluded_by_reason, p11_preview, p12_ids, p08_sha256, p10_word_count, p09_tidy, p18_canonical_json, k06_csv_safe, p37_sizes, a05_duplicate_groups, a05_duplicate_members,
-        a06_count_by_domain, a08_distinct_counts, a14_token_buckets, a15_chunks_per_section, a22_unique_values, w29_smallest_chunks, u01_row_differences, u02_without_labels, u03_shared_tokens, u04_union_distinct, k05_upsert,
+        a06_count_by_domain, a08_distinct_counts, a14_token_buckets, a15_chunks_per_section, a22_unique_values, w29_smallest_chunks, u02_without_labels, u03_shared_tokens,
         j09_heading_tree, j20_section_text, w13_drop_repeats, w14_trim_tail, j07_interval_projection, a20_best_grade, j06_integrity, c08_audit_status, c04_chunks, f10_chunk_violations, w12_overlap, c06_page_blocks,
         p16_block_statistics, c05_sections, p17_urls,
     )
@@ -306,11 +286,8 @@ SELECT position, bucket, count(chunk) AS rows FROM b LEFT JOIN toks ON len(t) >=
     "a15_chunks_per_section": "SELECT n, count(*) AS sections FROM (SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) GROUP BY n",
     "a22_unique_values": "SELECT lang AS domain, string_agg(DISTINCT source, ',' ORDER BY source) AS documents FROM documents GROUP BY lang",
     "w29_smallest_chunks": f"WITH {SQL_TOKENS} SELECT chunk AS chunk_id, len(t) AS tokens FROM toks ORDER BY tokens, chunk_id LIMIT 50",
-    "u01_row_differences": "SELECT doc_id, lang, 'left' AS side FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT doc_id, lang, 'right' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 9 = 0",
     "u02_without_labels": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
     "u03_shared_tokens": f"SELECT doc_id AS chunk_id, array_to_string({_SHARED}, ' ') AS shared FROM documents",
-    "u04_union_distinct": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS list FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-    "k05_upsert": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'kept' WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'unchanged' END AS status FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 5 <> 0",
     "j09_heading_tree": f"""WITH RECURSIVE {_BLOCKS},
 parents AS (SELECT a.document_id, a.section_order, max(b.section_order) AS parent_order FROM heads a LEFT JOIN heads b ON a.document_id = b.document_id AND b.section_order < a.section_order AND b.level < a.level GROUP BY ALL),
 depths AS (SELECT document_id, section_order, CAST(1 AS BIGINT) AS depth FROM parents WHERE parent_order IS NULL

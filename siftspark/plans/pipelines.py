@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.chunking import ChunkSettings
 from ..functions.embedding import embed, hashing_embedder
 from ..functions.vectors import is_unit
+from ..functions.text import prepared_query
+from ..operators import checks as K
 from ..operators import corpus as C
 from ..operators import evidence as E
 from ..operators import metrics as M
 from ..operators import retrieval as R
-from ..sources.chat import ChatBackend, complete
+from ..operators import validation as V
+from ..sources.chat import complete
 from ..sources.files import settings_hash
 
 #: Chunk sizes of the experiment (target, overlap) and the frozen search settings.
 VARIANTS = ((256, 32), (512, 64), (1024, 128))
+SYSTEM = "Answer from the given evidence alone. Reply with JSON: abstain (true or false), answer, citations (evidence ids). Mark each claim with [id]; abstain if the evidence does not settle the question."
+VERIFIER = "Judge the answer by the evidence alone. Reply with JSON: verdict (supported, unsupported, contradicted or uncertain) and quotes (verbatim from the evidence)."
 FROZEN = {"candidate_k": 20, "rrf_k": 20, "dense_weight": 1.0, "bm25_weight": 0.1}
 
 
@@ -72,9 +78,49 @@ def build_dense_index(chunks: DataFrame, path: str, model: Callable = hashing_em
     C.fail_closed(C.violation(v, "not_a_unit_vector", F.col("chunk"), ~is_unit(F.col("v"))))
 
 
+@dataclass
+class Bm25Retriever:
+    """Lexical search over a folder of indexes."""
+
+    spark: SparkSession
+    path: str
+    k1: float = R.K1
+    b: float = R.B
+
+    def describe(self) -> dict:
+        s = self.spark.read.parquet(f"{self.path}/stats").first()
+        return {"path": self.path, "k1": self.k1, "b": self.b, "chunks": s.n, "average_length": s.avgdl, "terms": self.spark.read.parquet(f"{self.path}/terms").count()}
+
+    def search(self, queries: DataFrame, top_k: int = 10, metadata: DataFrame | None = None, domains: list[str] | None = None, document_ids: list[str] | None = None) -> DataFrame:
+        return search_index(self.spark, self.path, queries, top_k, self.k1, self.b, _allowed(metadata, domains, document_ids))
+
+
+@dataclass
+class DenseRetriever:
+    """Search by vectors over a folder of indexes. A query gets the prefix, if there is one, before it is embedded."""
+
+    spark: SparkSession
+    path: str
+    model: Callable = hashing_embedder
+    prefix: str = ""
+
+    def describe(self) -> dict:
+        v = self.spark.read.parquet(f"{self.path}/vectors").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+        return {"path": self.path, "chunks": v.n, "width": v.w, "prefix": self.prefix}
+
+    def search(self, queries: DataFrame, top_k: int = 10, metadata: DataFrame | None = None, domains: list[str] | None = None, document_ids: list[str] | None = None) -> DataFrame:
+        if top_k <= 0:
+            raise ValueError("top_k must be positive")
+        allowed = _allowed(metadata, domains, document_ids)
+        vectors = self.spark.read.parquet(f"{self.path}/vectors")
+        vectors = vectors if allowed is None else vectors.join(allowed, "chunk", "left_semi")
+        asked = queries.select("query_id", embed(prepared_query(F.col("text"), self.prefix), self.model).alias("qv"))
+        return R.dense_search(vectors, asked, top_k, "chunk", "v", "query_id", "qv")
+
+
 @dataclass
 class HybridRetriever:
-    """Lexical, dense and fused search over one folder of indexes, for tables of queries (query_id, text)."""
+    """Both searches and their fusion, for tables of queries (query_id, text)."""
 
     spark: SparkSession
     path: str
@@ -97,12 +143,8 @@ class HybridRetriever:
         if top_k <= 0:
             raise ValueError("top_k must be positive")
         depth = max(self.candidate_k, top_k)
-        allowed = _allowed(metadata, domains, document_ids)
-        lexical = search_index(self.spark, self.path, queries, depth, allowed=allowed)
-        vectors = self.spark.read.parquet(f"{self.path}/vectors")
-        vectors = vectors if allowed is None else vectors.join(allowed, "chunk", "left_semi")
-        asked = queries.select("query_id", embed(F.col("text"), self.model).alias("qv"))
-        dense = R.dense_search(vectors, asked, depth, "chunk", "v", "query_id", "qv")
+        named = (queries, depth, metadata, domains, document_ids)
+        lexical, dense = Bm25Retriever(self.spark, self.path).search(*named), DenseRetriever(self.spark, self.path, self.model).search(*named)
         return R.fuse(R.candidates(dense, lexical), top_k, self.rrf_k, self.dense_weight, self.bm25_weight)
 
 
@@ -126,6 +168,18 @@ def evaluate(questions: DataFrame, rankings: DataFrame, judgments: DataFrame, in
     return per, M.grouped_metrics(per)
 
 
+def evaluate_golden(golden: DataFrame, retriever: Bm25Retriever | DenseRetriever | HybridRetriever, split: str = "all", depth: int = 20, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C10 from the question set on: F13, the split, J5, the search, and the metrics per question and grouped."""
+    C.fail_closed(V.golden_violations(golden, strict))
+    own = K.in_split(golden, split)
+    index = retriever.spark.read.parquet(f"{retriever.path}/postings").select("chunk").distinct()
+    judged = own.select(F.col("question_id").alias("question"), F.explode(K.judgment_map(F.col("relevance_judgments"))).alias("chunk", "grade"))
+    # Searches number the questions, so their keys may be of any type.
+    asked = own.select(F.xxhash64("question_id").alias("query_id"), "question_id", F.col("question").alias("text"))
+    found = retriever.search(asked, depth).join(asked.select(F.col("query_id").alias("query"), F.col("question_id").alias("question")), "query").select("question", "chunk", "rank")
+    return evaluate(own.select(F.col("question_id").alias("question"), "category", "difficulty", "split", "answerable"), found, judged, index)
+
+
 def project_judgments(judgments: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Judgments (question, chunk, grade) of old spans (id, section, lo, hi) onto new ones; a positive that lands nowhere
     stops it. The best grade wins."""
@@ -147,7 +201,7 @@ def chunk_size_experiment(sections: DataFrame, measure: Callable[[DataFrame, str
     return out
 
 
-def answer_questions(questions: DataFrame, hits: DataFrame, backend: ChatBackend, system: str, retries: int = 1) -> DataFrame:
+def answer_questions(questions: DataFrame, hits: DataFrame, backend: Any, system: str, retries: int = 1) -> DataFrame:
     """Evidence within the budget, the prompt, the model, the checks. Questions without evidence are not asked."""
     evidence = E.select_evidence(hits)
     grouped = evidence.groupBy("question").agg(F.sort_array(F.collect_list(F.struct("rank", "evidence_id", "excerpt"))).alias("e"))
@@ -160,6 +214,29 @@ def answer_questions(questions: DataFrame, hits: DataFrame, backend: ChatBackend
     return j.select("question", status.alias("status"), F.when(status == "answered", parsed["answer"]).alias("answer"), F.when(status == "answered", parsed["citations"]).alias("citations"), F.coalesce("error", F.when(F.col("raw").isNotNull(), parsed["error"])).alias("error"))
 
 
+def question_states(questions: DataFrame, hits: DataFrame, backend: Any, verifier: Any, retries: int = 1) -> DataFrame:
+    """C19 from the questions on: answer, structural checks, verifier, one repair where the gate blocks, and the verifier again.
+
+    Each model is asked once for the whole table of those rows that need it, and what it said is written before the next step.
+    """
+    evidence = E.select_evidence(hits).groupBy("question").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("evidence_id").alias("id"), F.col("excerpt").alias("text")))).alias("e"))
+    first = answer_questions(questions, hits, backend, SYSTEM, retries)
+    rows = questions.join(first, "question").join(evidence, "question", "left").withColumn("sources", F.transform("e", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))))
+    spoken = F.array_join(F.transform("sources", lambda x: x["text"]), "\n")
+    flags = E.structural_checks(F.col("status"), F.col("answer"), F.col("citations"), spoken)["hard_flags"]
+    rows = rows.withColumns({"hard": flags, "spoken": spoken})
+    ask = lambda part, kind, model, system: complete(part.select(F.col("question").cast("string").alias("key"), F.lit(system).alias("system"), K.prompts(F.col("text"), F.col("answer"), F.col("sources"), F.col("hard"))[kind].alias("user")), model, retries).select(F.col("key").alias("__key"), F.col("raw").alias(f"{kind}_raw"))
+    with_key = lambda left, right: left.join(right, F.col("question").cast("string") == F.col("__key"), "left").drop("__key")
+    rows = with_key(rows, ask(rows.where((F.col("status") == "answered") & (F.size("hard") == 0)), "verify", verifier, VERIFIER))
+    said = F.from_json("verify_raw", "verdict string, quotes array<string>")
+    verdict = E.gate_verdict(F.col("status"), F.col("hard"), E.verified_verdict(said["verdict"], said["quotes"], F.col("spoken")), True, False)
+    rows = rows.withColumn("verdict", verdict)
+    blocked = F.col("verdict").isin("structural_failure", *E.BLOCKING)
+    rows = with_key(rows, ask(rows.where(blocked), "repair", backend, SYSTEM))
+    repaired = E.parse_generation(F.col("repair_raw"), F.transform("sources", lambda x: x["id"]))
+    return rows.select("question", "status", "answer", "verdict", blocked.alias("blocked"), F.when(blocked, repaired["error"].isNull() & ~repaired["abstain"]).alias("repaired"), F.when(blocked, repaired["answer"]).alias("repaired_answer"))
+
+
 def truncation_audit(lengths: DataFrame, column: str, limit: int = 512) -> DataFrame:
     """How many texts are longer than a model takes, and what would be lost."""
     n = F.col(column)

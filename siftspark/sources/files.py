@@ -56,6 +56,46 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "row_index long, vector array<float>")
 
 
+def write_matrix(rows: DataFrame, path: str, index: str = "row_index", vector: str = "vector", most_bytes: int = 1 << 30, overwrite: bool = False) -> None:
+    """K4: (row_index, vector) as one NPY matrix of float32, row by row in order. It is one file on the driver's disk, so it is for
+    exports of a stated size (``most_bytes``); Parquet is the form for the rest. Rows are streamed, not collected."""
+    import numpy as np
+
+    facts = rows.agg(F.count("*").alias("n"), F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"), F.min(index).alias("first"), F.max(index).alias("last"), F.count_distinct(index).alias("d")).first()
+    if facts.n and (facts.low != facts.high or facts.first != 0 or facts.last != facts.n - 1 or facts.d != facts.n):
+        raise ValueError(f"not a matrix with rows 0 to n - 1: {facts.asDict()}")
+    width = facts.high or 0
+    if 4 * facts.n * width > most_bytes:
+        raise ValueError("the matrix is larger than the stated size; write Parquet")
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    tmp = f"{path}.tmp-{os.getpid()}"
+    with open(tmp, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (facts.n, width)})
+        for r in rows.select(index, vector).orderBy(index).toLocalIterator():
+            f.write(np.asarray(r[1], "<f4").tobytes())
+    os.replace(tmp, path)
+
+
+def content_hash(df: DataFrame, order: list[str]) -> str:
+    """K2: sha256 of the file that ``write_jsonl`` makes of the rows with ``single_file``; lines come to the driver one by one."""
+    h = hashlib.sha256()
+    for r in df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).toLocalIterator():
+        h.update(r.value.encode("utf-8") + b"\n")
+    return h.hexdigest()
+
+
+def render(df: DataFrame, as_json: bool = False, rows: int = 50, width: int = 60) -> str:
+    """The first rows as a table for people, or as JSON lines."""
+    head = df.limit(rows).collect()
+    if as_json:
+        return "\n".join(canonical_json(r.asDict(recursive=True)) for r in head)
+    flat = [["" if v is None else " ".join(str(v).split()) for v in r] for r in head]
+    lines = [df.columns, *[[c if len(c) <= width else c[: width - 1] + "…" for c in r] for r in flat]]
+    size = [max(len(x[i]) for x in lines) for i in range(len(df.columns))]
+    return "\n".join("  ".join(c.ljust(n) for c, n in zip(x, size, strict=True)).rstrip() for x in lines)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Quoted CSV with a header that must be exactly ``columns``; a byte order mark is not part of the first name."""
     df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)

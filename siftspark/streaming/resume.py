@@ -30,15 +30,18 @@ def resume(work: DataFrame, path: str, key: str, fingerprint: str, step: Callabl
 
 
 def ingest_changed(spark: SparkSession, source: str, schema: str | T.StructType, target: str, checkpoint: str, key: str, content: str) -> None:
-    """Take in new JSON files once; rows whose content hash the target already has for the key are left out. Exactly once by the
-    checkpoint and a batch folder that a repeated batch overwrites."""
+    """Take in new JSON files once; a row whose content is what the target has last for its key is left out, so a document that
+    returns to old content is taken in again. Of several rows of a key in one batch the one with the greatest hash counts, as a
+    batch has no order. Exactly once by the checkpoint and a batch folder that a repeated batch overwrites."""
 
     def put(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("content_sha256", F.sha2(F.col(content), 256)).dropDuplicates([key, "content_sha256"])
+        hashed = batch.withColumn("content_sha256", F.sha2(F.col(content), 256))
+        new = hashed.groupBy(key).agg(F.max_by(F.struct(*hashed.columns), F.coalesce("content_sha256", F.lit(""))).alias("r")).select("r.*")
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if number and p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            old = spark.read.parquet(target).where(F.col("batch") < number).select(key, "content_sha256")
-            new = new.join(old, [key, "content_sha256"], "left_anti")
+            old = spark.read.parquet(target).where(F.col("batch") < number).groupBy(key).agg(F.max_by(F.struct("content_sha256"), "batch").alias("last"))
+            held = old.select(F.col(key).alias("__key"), F.col("last.content_sha256").alias("__sha"))
+            new = new.join(held, F.col(key).eqNullSafe(F.col("__key")) & F.col("content_sha256").eqNullSafe(F.col("__sha")), "left_anti")
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).json(source)
