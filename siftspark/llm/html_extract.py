@@ -5,10 +5,11 @@ it, and repeated siblings (paragraphs, list items) share one node, as a wrapper'
 tree is the wrapper's frame. Every other tree of the host is aligned with it by simple tree matching, which gives each
 node a slot. Pages with the same tree and content count as one. A content that a slot has on nearly every page that has the
 slot, and on nearly every page of the host, is constant: template, and left out where a page has that very content in that
-slot. All else is content. Where elements say what they are, that is heeded as well: navigation, footers, forms,
-scripts, comments, adverts and the like are no content although they vary, and an article or main element bounds it. Only a
+slot. All else is content. Where elements say what they are, that is heeded as well: menus, sidebars, footers, notices, forms,
+scripts, comments and adverts are no content although they vary, and an article or main element bounds it. Only a
 whole word of class, id, role or itemprop says so, and never of html, body, main, article or what holds a main or article
-element; so comments that are article elements themselves stay in.
+element; so comments that are article elements themselves stay in. Weaker words (related, share, tags, search and so on) say
+so outside an article; inside one the wrapper decides, and they count only where the host has too few pages for one.
 
 Statistics are grouped by host, slot and content hash before anything is gathered by host, so a host with a third of all
 pages is spread over all tasks; the frames and constant slots of the hosts are one small row each. Pages are parsed twice
@@ -53,9 +54,13 @@ CONTROLS = frozenset("button select svg".split())
 NO_CONTENT = frozenset("aside dialog fieldset footer form head menu nav".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "tbody": ("tbody thead tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Whole words of class, id, role or itemprop that say an element is no content.
+#: Whole words of class, id, role or itemprop that say an element is a menu, sidebar, footer, notice, advert, form or comment.
 NO_CONTENT_WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr hidden login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip skiplink social sponsor sponsored subscribe subscription tagcloud tags toolbar topbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus footer form gdpr menu menubar modal nav navbar navigation navlinks newsletter notice notification popup promo promoted promotion replies reply respond sidebar sidenav signup sponsor sponsored subscribe subscription".split()
+)
+#: Words that say so outside an article, and in one only where the host has too few pages for its wrapper to tell.
+WEAK_WORDS = frozenset(
+    "alert banner breadcrumb breadcrumbs byline copyright disclaimer hidden login masthead pager pagination recommended related search share sharing skip skiplink social tagcloud tags toolbar topbar widget widgets".split()
 )
 _HEADER_WORDS = frozenset(["header"])
 MAIN_WORDS = frozenset(["article", "main"])
@@ -78,7 +83,7 @@ class Page:
 
     def __init__(self, text: str | None):
         self.labels, self.parent, self.children, self.off, self.main = ["#root"], [-1], [[]], [False], [False]
-        self.named, self.holds = [False], [False]
+        self.named, self.hinted, self.weak, self.holds = [False], [False], [False], [False]
         self.segments: list[tuple[int, str]] = []
         self._read(text or "")
         for k in range(len(self.labels) - 1, 0, -1):
@@ -86,10 +91,13 @@ class Page:
                 self.holds[self.parent[k]] = True
         for k in range(1, len(self.labels)):
             self.off[k] |= self.off[self.parent[k]] or (self.named[k] and not self.holds[k])
+            self.weak[k] = self.weak[self.parent[k]] or (self.hinted[k] and not self.holds[k])
 
     def _node(self, parent: int, tag: str, names: frozenset[str], again: bool) -> tuple[int, bool]:
         """The node for an element, and whether it stood there before."""
-        no_content, main = bool(names & NO_CONTENT_WORDS), bool(names & _MAIN_NAMES)
+        inside = self.main[parent]
+        hinted, main = bool(names & WEAK_WORDS), bool(names & _MAIN_NAMES)
+        no_content = bool(names & NO_CONTENT_WORDS) or (hinted and not inside)
         label = ".".join([tag, *sorted(set(_WORD.findall(" ".join(names))))]) + "!" * no_content + "*" * main
         own = self.children[parent]
         for k in own if again else own[-1:]:
@@ -100,9 +108,10 @@ class Page:
         self.parent.append(parent)
         self.children.append([])
         own.append(k)
-        inside = self.main[parent]
         self.main.append(inside or tag in MAIN_WORDS or main)
         self.named.append(tag not in _KEPT and (no_content or (not inside and bool(names & _HEADER_WORDS))))
+        self.hinted.append(tag not in _KEPT and hinted and inside)
+        self.weak.append(False)
         self.holds.append(tag in MAIN_WORDS)
         self.off.append(tag in NO_CONTENT or tag in CONTROLS or (not inside and tag == "header"))
         return k, False
@@ -155,7 +164,7 @@ class Page:
             if tag in CONTROLS and m[3].endswith("/"):
                 continue
             names = _names(m[3]) if m[3] else frozenset()
-            if not block and tag not in CONTROLS and not names & NO_CONTENT_WORDS:
+            if not block and tag not in CONTROLS and not names & (NO_CONTENT_WORDS | WEAK_WORDS):
                 continue
             if block:
                 put((-1, " "))
@@ -205,10 +214,12 @@ class Page:
         shown = ["".join(x).strip() for x in own]
         return [xxhash.xxh3_64_intdigest(shown[k]) - (1 << 63) if shown[k] else None for k in self.preorder()]
 
-    def text(self, constant: set[int]) -> str:
-        """The text without nodes that are no content, and without those in ``constant``."""
-        keep = [not off and k not in constant for k, off in enumerate(self.off)]
-        for own in ([a and b for a, b in zip(keep, self.main, strict=True)], keep, [not o and m for o, m in zip(self.off, self.main, strict=True)], [not o for o in self.off]):
+    def text(self, constant: set[int], wrapped: bool = False) -> str:
+        """The text without nodes that are no content, and without those in ``constant``. ``wrapped``: the host's wrapper is known, so
+        weak words inside an article say nothing that it doesn't."""
+        off = self.off if wrapped else [a or b for a, b in zip(self.off, self.weak, strict=True)]
+        keep = [not o and k not in constant for k, o in enumerate(off)]
+        for own in ([a and b for a, b in zip(keep, self.main, strict=True)], keep, [not o and m for o, m in zip(off, self.main, strict=True)], [not o for o in off]):
             out = "".join([t for k, t in self.segments if k < 0 or own[k]])
             if out := " ".join((html_lib.unescape(out) if "&" in out else out).split()):
                 return out
@@ -375,7 +386,7 @@ def _extract(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
                     known[key] = slots(*key)
                 gone = set(constant)
                 drop = {k for k, s, h in zip(p.preorder(), known[key], p.hashes(), strict=True) if f"{h} {s}" in gone}
-            out.append(p.text(drop))
+            out.append(p.text(drop, frame is not None))
         yield pd.Series(out, dtype=object)
 
 
@@ -385,7 +396,8 @@ def host_of(url: Column) -> Column:
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, frame, constant): a row per host with its frame and what is constant on its pages, as content hash and slot."""
+    """(host, frame, constant): a row per host with MIN_PAGES different pages or more: its frame, and what is constant on its pages
+    as content hash and slot (null if nothing is)."""
     ship_package(pages.sparkSession)
     seen = durable(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(F.col("host").isNotNull()).mapInArrow(_survey, "host string, skeleton string, hashes array<long>").distinct(), "html-survey")
     forms = seen.groupBy("host", "skeleton").count()
@@ -397,7 +409,7 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     by_slot = by_content.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "hash")).alias("most"))
     common = by_slot.where((F.col("pages") >= MIN_PAGES) & (F.col("most.n") >= CONSTANT_SHARE * F.col("pages"))).join(frames.select("host", "host_pages"), "host")
     constant = common.where(F.col("most.n") >= HOST_SHARE * F.col("host_pages")).groupBy("host").agg(F.collect_list(F.concat_ws(" ", "most.hash", "slot")).alias("constant"))
-    return durable(frames.select("host", "frame").join(constant, "host"), "html-wrappers")
+    return durable(frames.where(F.col("host_pages") >= MIN_PAGES).select("host", "frame").join(constant, "host", "left"), "html-wrappers")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

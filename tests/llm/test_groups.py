@@ -251,6 +251,14 @@ def test_html_wrapper_decides_where_nothing_is_named(spark):
     assert html_extract.main_text(pages).columns == ["page_id", "url", "html", "__he_host", "__own_1", "__he_text"]
 
 
+def test_html_weak_words_in_articles_need_the_wrapper(spark):
+    """A part of an article that is called related or tags stays where it varies, goes where it is constant, and counts on small hosts."""
+    page = "<body><div class='related'>Out</div><article><p>Own {0}</p><div class='related'>Work {0}</div><ul class='tags'><li>Same</ul><div class='ad'>Buy {0}</div></article></body>"
+    rows = [(i, f"http://{h}.example/{i}", page.format(i)) for i, h in enumerate(["many"] * 8 + ["few"] * 3)]
+    got = {r.page_id: r.text for r in html_extract.page_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(11)] == [f"Own {i} Work {i}" if i < 8 else f"Own {i}" for i in range(11)]
+
+
 def recursive_match(a, b):
     """The weight of simple tree matching straight from its definition, on nested (label, children) trees."""
     if a[0] != b[0]:
