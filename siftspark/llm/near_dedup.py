@@ -190,7 +190,8 @@ def crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     rows = crowd.join(texts, "cls").select(F.xxhash64("cls").alias("c"), F.xxhash64("root").alias("r"), "text")
     tokens = rows.mapInArrow(_tokenizer, "c long, r long, token long")
     shared = tokens.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
-    counts = tokens.join(shared, "token").groupBy("c").agg(F.count("*").alias("cross"))
+    # A filter of the tokens, so a semi-join: nothing of shared is wanted, and no row can come out twice.
+    counts = tokens.join(shared, "token", "left_semi").groupBy("c").agg(F.count("*").alias("cross"))
     return crowd.join(counts, F.xxhash64("cls") == F.col("c"), "left").select("cls", F.coalesce("cross", F.lit(0)).alias("cross"))
 
 
