@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import is_unit
 from .corpus import all_violations, violation
-from .metrics import EDGE
+from .metrics import EDGE, running
 
 #: The counts that an evaluation of the development questions must find.
 DEV_ROWS, DEV_ANSWERABLE = 60, 54
@@ -160,20 +160,17 @@ def length_audit(lengths: DataFrame, limit: int) -> DataFrame:
 def system_thresholds(scores: DataFrame) -> DataFrame:
     """C11 over (system, split, score, positive): for each system the threshold that is best on dev, and how it does on test.
 
-    Scores are counted first; a system's distinct scores then pass one window each, so systems are apart and no score meets
-    every threshold. Candidates are the midpoints of neighbouring scores and one beyond either end.
+    Scores are counted first and sorted in slices, so neither a system nor a score meets every threshold in one task. Candidates
+    are the midpoints of neighbouring scores and one beyond either end.
     """
     by = scores.groupBy("system", "split", "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    whole = by.groupBy("system", "split").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    up = Window.partitionBy("system", "split").orderBy("score")
-    below = up.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.join(whole, ["system", "split"]).withColumns({
-        "p_below": F.coalesce(F.sum("p").over(below), F.lit(0)), "n_below": F.coalesce(F.sum("n").over(below), F.lit(0)), "before": F.lag("score").over(up), "last": F.lead("score").over(up).isNull(),
+    ranked = running(by, "score", ("p", "n"), keys=("system", "split")).withColumns({
+        "p_below": F.col("to_p") - F.col("p"), "n_below": F.col("to_n") - F.col("n"), "last": F.col("score") == F.col("last_value"),
     })
     wins = F.try_divide(F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2)), F.first(F.col("all_p") * F.col("all_n")))
     areas = ranked.groupBy("system", "split").agg(F.round(wins, 6).alias("auroc"))
     # A threshold just below a score rejects what is below it; the one beyond the last score rejects all.
-    cut = F.struct(F.coalesce((F.col("before") + F.col("score")) / 2, F.col("score") - EDGE).alias("threshold"), F.col("p_below").alias("fn"), F.col("n_below").alias("tn"))
+    cut = F.struct(F.coalesce((F.col("previous") + F.col("score")) / 2, F.col("score") - EDGE).alias("threshold"), F.col("p_below").alias("fn"), F.col("n_below").alias("tn"))
     end = F.struct((F.col("score") + EDGE).alias("threshold"), F.col("all_p").alias("fn"), F.col("all_n").alias("tn"))
     cuts = ranked.where("split = 'dev'").select("system", "all_p", "all_n", F.inline(F.array_compact(F.array(cut, F.when(F.col("last"), end)))))
     best = cuts.select("system", "threshold", *_rates(F.col("all_p") - F.col("fn"), F.col("fn"), F.col("tn"), F.col("all_n") - F.col("tn")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 CUTS = (5, 10)
 EDGE = 1e-12
+#: Slices that a column is sorted in, a task each.
+SLICES = 256
 #: The sweep of fusion settings.
 WEIGHTS, RRF_KS, CANDIDATE_KS = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0), (20, 60, 100), (20, 50, 100)
 RECALL_ALLOWANCE = 0.01
@@ -88,32 +90,67 @@ def section_judgments(judgments: DataFrame, sections: DataFrame) -> DataFrame:
     return judgments.join(sections, "chunk").groupBy("question", "section").agg(F.max("grade").alias("grade")).withColumnRenamed("section", "chunk")
 
 
+def sliced(df: DataFrame, value: str) -> Column:
+    """A number that rises with a numeric column: how many of its approximate quantiles in df the value reaches. Nulls come first.
+
+    The at most SLICES - 1 quantiles are looked up at once and become constants, so a value has the same slice in every task.
+    """
+    marks = df.agg(F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], 10 * SLICES)).head()[0]
+    bounds = sorted({float(x) for x in marks or () if x == x})
+
+    def halve(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(value) >= bounds[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
+
+    return halve(0, len(bounds))
+
+
+def running(df: DataFrame, value: str, sums: tuple[str, ...] = (), *, down: bool = False, tie: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to the rows of each key, in order of value and tie: ``to_<c>``, the sum of c up to and with the row, ``all_<c>``, its sum
+    over all rows, ``previous``, the value of the row before, and ``last_value``, that of the last row.
+
+    No task sorts all rows: each sorts a slice, and what the slices before it hold comes from one row a slice.
+    """
+    cut = df.withColumn("__slice", sliced(df, value))
+    end, way = (F.min, F.desc) if down else (F.max, F.asc)
+    slices = Window.partitionBy(*keys).orderBy(way("__slice"))
+    before, whole = slices.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    per = cut.groupBy(*keys, "__slice").agg(end(value).alias("__end"), *[F.sum(c).alias(c) for c in sums])
+    per = per.select(
+        *keys, "__slice", F.last("__end", ignorenulls=True).over(before).alias("__end"), end("__end").over(whole).alias("last_value"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in sums], *[F.sum(c).over(whole).alias(f"all_{c}") for c in sums],
+    )
+    # Without keys there are at most SLICES rows.
+    met = cut.join(per if keys else F.broadcast(per), [*keys, "__slice"])
+    own = Window.partitionBy(*keys, "__slice").orderBy(way(value), *([] if tie is None else [tie]))
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = met.withColumns({"previous": F.coalesce(F.lag(value).over(own), F.col("__end")), **{f"to_{c}": F.sum(c).over(upto) + F.col(f"__before_{c}") for c in sums}})
+    return out.drop("__slice", "__end", *[f"__before_{c}" for c in sums])
+
+
 def auroc(scores: DataFrame) -> DataFrame:
     """A10 over (score, positive): rank sum with mean ranks for ties, from counts per score; null without both classes."""
     by = scores.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    wins = running(by, "score", ("n",)).withColumn("w", F.col("p") * (F.col("to_n") - F.col("n") / 2))
     return wins.agg(F.round(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")), 6).alias("auroc"))
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
     """Midpoints of neighbouring scores, and one on either side of all."""
     d = scores.select("score").distinct()
-    mid = d.select((F.col("score") + F.lead("score").over(Window.orderBy("score"))) / 2).toDF("threshold").where("threshold IS NOT NULL")
+    mid = running(d, "score").select(((F.col("previous") + F.col("score")) / 2).alias("threshold"))
     edges = d.agg((F.min("score") - EDGE).alias("a"), (F.max("score") + EDGE).alias("b")).select(F.explode(F.array("a", "b")).alias("threshold"))
     return mid.union(edges).where("threshold IS NOT NULL")
 
 
 def confusion(scores: DataFrame, cuts: DataFrame) -> DataFrame:
-    """A11 at every threshold (score >= threshold is positive). J15 by running counts: one sort, no scores x thresholds."""
+    """A11 at every threshold (score >= threshold is positive). J15 by running counts: sorted slices, no scores x thresholds."""
     events = scores.select(F.col("score").alias("x"), F.col("positive").cast("long").alias("p"), (~F.col("positive")).cast("long").alias("n"), F.lit(None).cast("double").alias("t"))
     events = events.groupBy("x", "t").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     marks = cuts.select(F.col("threshold").alias("x"), F.col("threshold").alias("t"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
     # Going down from the highest score, a threshold counts all scores at or above it.
-    run = Window.orderBy(F.desc("x"), F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = events.unionByName(marks).select("t", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
-    at = counted.where("t IS NOT NULL").select(F.col("t").alias("threshold"), "tp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"), "fp")
+    counted = running(events.unionByName(marks), "x", ("p", "n"), down=True, tie=F.col("t").asc_nulls_first())
+    at = counted.where("t IS NOT NULL").select(F.col("t").alias("threshold"), F.col("to_p").alias("tp"), (F.col("all_p") - F.col("to_p")).alias("fn"), (F.col("all_n") - F.col("to_n")).alias("tn"), F.col("to_n").alias("fp"))
     tpr = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     tnr = F.coalesce(F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")), F.lit(0.0))
     return at.withColumns({"recall": F.round(tpr, 6), "rejection": F.round(tnr, 6), "balanced_accuracy": F.round((tpr + tnr) / 2, 6)})

@@ -10,8 +10,10 @@ from siftspark.functions.chunking import ChunkSettings, boundary_priority, regex
 from siftspark.functions.evidence_spans import extract_spans
 from siftspark.functions.html_blocks import html_blocks
 from siftspark.functions.text import contains_quote
+from siftspark.operators import checks as K
 from siftspark.operators import corpus as C
 from siftspark.operators import evidence as E
+from siftspark.operators import metrics as M
 from siftspark.plans import pipelines as P
 from siftspark.plans.evidence import p29_quotes
 from siftspark.sources import chat, fetch, files
@@ -214,3 +216,30 @@ def test_quotes_in_all_documents(spark, sf_dir):
     odd = [("Die Straße", "STRASSE"), ("a\u00a0b\u2003 c\x1cd", "A B C D"), ("λόγος", "ΛΌΓΟΣ"), ("λόγοσα", "όγος"), ("été", "ETE"), (None, "a"), ("a", None), (None, None), ("a", "\u00a0")]
     got = spark.createDataFrame(odd, "s string, q string").select("s", "q", contains_quote(F.col("s"), F.col("q")).alias("f")).collect()
     assert [(r.s, r.q, r.f) for r in got] == [(a, b, flat(b) != "" and flat(b) in flat(a)) for a, b in odd]
+
+
+def test_running_sums_over_slices(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, -1.5, *[rng.random() for _ in range(40)]]), rng.randrange(9)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, x double, n int").groupBy("x").agg(F.sum("n").alias("n"))
+    for down in (False, True):
+        got = {r["x"]: r for r in M.running(df, "x", ("n",), down=down).collect()}
+        sums = {x: sum(n for _, y, n in rows if y == x) for x in {y for _, y, _ in rows}}
+        order = sorted(sums, key=lambda x: (x is not None, x or 0), reverse=down)
+        assert set(got) == set(sums) and {r["all_n"] for r in got.values()} == {sum(sums.values())}
+        assert {r["last_value"] for r in got.values()} == {max(x for x in sums if x is not None) if not down else min(x for x in sums if x is not None)}
+        seen = 0
+        for i, x in enumerate(order):
+            seen += sums[x]
+            assert got[x]["to_n"] == seen and (x is None or got[x]["previous"] == (order[i - 1] if i else None))
+
+
+def test_thresholds_of_odd_scores(spark):
+    one = spark.createDataFrame([(0.5, True), (0.5, False), (None, True)], "score double, positive boolean")
+    assert sorted(r[0] for r in M.thresholds(one).collect()) == [0.5 - M.EDGE, 0.5 + M.EDGE]
+    assert M.auroc(one.where("score IS NOT NULL")).head()[0] == 0.5
+    none = one.where("false")
+    assert M.thresholds(none).count() == 0 and M.confusion(none, M.thresholds(none)).count() == 0 and M.auroc(none).head()[0] is None
+    two = spark.createDataFrame([("a", "dev", 0.25, True), ("a", "dev", 0.75, False), ("a", "test", 0.9, True), ("b", "dev", 3.0, True), ("b", "dev", 1.0, False), ("b", "test", 2.5, True)], "system string, split string, score double, positive boolean")
+    got = {r["system"]: (r["threshold"], r["dev_auroc"], r["recall"]) for r in K.system_thresholds(two).collect()}
+    assert got["b"] == (2.0, 1.0, 1.0) and got["a"][1] == 0.0
