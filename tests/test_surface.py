@@ -14,6 +14,7 @@ from siftspark import cli
 from siftspark.functions import chunking
 from siftspark.operators import checks as K
 from siftspark.operators import corpus as C
+from siftspark.operators import packets
 from siftspark.plans import corpus as corpus_plans
 from siftspark.plans import pipelines as P
 from siftspark.sources import chat, files
@@ -217,3 +218,30 @@ def test_evidence_digits_of_any_script(spark):
     t = "has ٣٤٥ and 12 parts"
     got = spark.createDataFrame([(t,)], "t string").select(evidence_tokens(F.col("t"))).first()[0]
     assert "٣٤٥" in got and "12" in got and unicodedata.digit("٣") == 3
+
+
+def test_labelling_packs(spark):
+    slots = spark.createDataFrame([(1, "comparison", "easy", "dev"), (2, "negative_near_miss", "hard", "test")], "turn long, category string, difficulty string, split string")
+    numbers = spark.createDataFrame([(4,), (12,)], "number long")
+    anchors = spark.createDataFrame([(10, "a"), (20, "z")], "place int, chunk string")
+    near = spark.createDataFrame([("a", c, s) for c, s in (("b", 0.9), ("c", 0.8), ("d", 0.7))], "anchor string, chunk string, score double")
+    chunks = spark.createDataFrame([("a", "x", 1, "A"), ("b", "x", 1, "B"), ("c", "y", 2, "C"), ("d", "x", 3, None), ("z", None, None, "Z")], "chunk string, domain string, document int, text string")
+    seeds = spark.createDataFrame([("q-001", "direct_factual", "easy", "dev")], "question_id string, category string, difficulty string, split string")
+    got = {r["question_id"]: r for r in packets.labelling_packs(slots, numbers, anchors, near, chunks, seeds).collect()}
+    assert [x["context"]["chunk"] for x in got["q-004"]["related"]] == ["d", "b", "c"] and got["q-004"]["anchor_context"]["text"] == "A"
+    assert got["q-012"]["related"] == [] and got["q-012"]["answerable"] is False and got["q-012"]["anchor_context"]["chunk"] == "z"
+    assert got["q-001"]["status"] == "seed_complete" and got["q-001"]["advice"] is None
+    with pytest.raises(Exception, match="no number or no anchor"):
+        packets.labelling_packs(slots, numbers.limit(1), anchors, near, chunks, seeds).collect()
+
+
+def test_packets_and_review_scores_of_odd_rows(spark):
+    questions = spark.createDataFrame([("p", "why"), ("q", None)], "question string, text string")
+    snippets = spark.createDataFrame([("p", f"E{n}", n, None) for n in (2, 10, 1)], "question string, evidence_id string, chunk int, quote string")
+    got = {r["question"]: r for r in packets.evidence_packets(questions, snippets).collect()}
+    assert got["p"]["evidence_ids"] == "E1; E2; E10" and got["q"]["evidence_status"] == "missing_saved_retrieval" and got["q"]["evidence"] is None
+    reviews = spark.createDataFrame([(1, " Supported "), (2, "partial"), (3, None), (4, "contradicted"), (5, "supported")], "key int, relation string")
+    gold = spark.createDataFrame([(1, True), (2, True), (4, False)], "key int, answerable boolean")
+    r = packets.review_scores(reviews, gold).first()
+    assert (r.questions, r.reviewed, r.unreviewed, r.all_reviewed, r.positive_supported, r.positive_partial, r.negative_contradicted, r.negative_supported) == (5, 4, 1, False, 1, 1, 1, 0)
+    assert packets.review_scores(reviews.limit(0), gold).first().all_reviewed is True
