@@ -218,6 +218,17 @@ def test_quotes_in_all_documents(spark, sf_dir):
     assert [(r.s, r.q, r.f) for r in got] == [(a, b, flat(b) != "" and flat(b) in flat(a)) for a, b in odd]
 
 
+def test_quotes_fold_every_letter(spark):
+    """Each letter that case folding changes, and the dotless i, against Python's case folding in all its cases; all white space is alike."""
+    flat = lambda t: re.sub(r"\s+", " ", t).strip().casefold()
+    letters = [c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) <= 0xDFFF and (c.casefold() != c or c.upper() != c)]
+    pairs = {(f"x{a}y", f"X{b}Y") for c in letters for d in (c.upper(), c.lower(), c.casefold()) for a, b in ((c, d), (d, c))}
+    pairs |= {(f"x{c}y", "X Y") for c in map(chr, range(1, 0x3100))}
+    odd = [("STRAẞE", "strasse"), ("strasse", "STRAẞE"), ("Straße", "STRAẞE"), ("STRAẞE", "Straße"), ("kapı", "KAPI"), ("KAPI", "kapı"), ("kapı", "kapı"), ("kapı", "kapß"), ("kapß", "kapı"), ("kapẞ", "kapı")]
+    got = spark.createDataFrame(sorted(pairs) + odd, "s string, q string").select("s", "q", contains_quote(F.col("s"), F.col("q")).alias("f")).collect()
+    assert [(r.s, r.q, r.f) for r in got if r.f != (flat(r.q) in flat(r.s))] == []
+
+
 def test_running_sums_over_slices(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([None, -1.5, *[rng.random() for _ in range(40)]]), rng.randrange(9)) for k in range(3000)]
