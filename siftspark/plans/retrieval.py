@@ -43,8 +43,7 @@ def w01_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f02_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only English chunks can be found; the statistics stay those of all."""
-    found = R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir), allowed=F.col("domain") == "en")
-    return R.top_k(found, TOP).select("query", "chunk", "score", "rank")
+    return R.bm25_search(chunks(spark, sf_dir), questions(spark, sf_dir), TOP, allowed=F.col("domain") == "en").select("query", "chunk", "score", "rank")
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -73,10 +72,8 @@ def p34_prepared_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second ranking of the same questions and chunks: by label distance, then id."""
-    q = vector_questions(spark, sf_dir).select(F.col("question").alias("query"), F.col("label").alias("ql"))
-    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk"), "label")
-    same = q.join(v, q.ql == v.label).where("query <> chunk").select("query", "chunk", F.round(1 / (1 + F.abs(F.col("query") - F.col("chunk"))), 6).alias("score"))
-    return R.top_k(same, DEPTH)
+    q = vector_questions(spark, sf_dir).select(F.col("question").alias("q"), F.col("label").alias("topic"))
+    return R.near_search(vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk"), F.col("label").alias("topic")), q, DEPTH)
 
 
 def j03_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
