@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.chunking import ChunkSettings, bpe_spans, chunks_of, regex_spans
 
+#: Rows that a task of a large join sorts, about.
+ROWS_A_TASK = 500_000
 #: The token buckets of the audit (from, to exclusive).
 BUCKETS = ((0, 1), (1, 16), (16, 32), (32, 64), (64, 128), (128, 256), (256, 384), (384, 512), (512, 513), (513, None))
 
 
+def dealt(by: DataFrame, *sides: tuple[DataFrame, str]) -> list[DataFrame]:
+    """The sides of a join dealt out by their keys to tasks that get about ROWS_A_TASK rows of ``by``, the largest side. Adaptive
+    execution would put together as much as makes 64 compressed MB, which for sorted keys are many times the rows."""
+    n = max(int(by.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-by.count() // ROWS_A_TASK))
+    return [df.repartition(n, key) for df, key in sides]
+
+
 def violation(df: DataFrame, rule: str, key: Column, bad: Column, detail: Column | None = None) -> DataFrame:
     return df.where(bad).select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
 

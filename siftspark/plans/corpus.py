@@ -168,14 +168,18 @@ def a20_best_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j06_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations over a parent-child-grandchild chain: orphans, mismatches, parents without children."""
     li, o, c = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    few = o.where("o_orderkey % 50 <> 0")
-    lines = li.join(few.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    few = o.where("o_orderkey % 50 <> 0").select("o_orderkey", "o_orderdate")
+    lines, known = C.dealt(li, (li.select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey"), (few, "o_orderkey"))
+    # Both rules of a line in one row after one join.
+    lines = lines.join(known, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rule = F.when(F.col("o_orderkey").isNull(), "orphan_line").when(F.col("l_shipdate") < F.col("o_orderdate"), "shipped_before_order")
+    told = lines.withColumn("rule", rule).where("rule IS NOT NULL").select("rule", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    orders, met = C.dealt(li, (o.select("o_orderkey"), "o_orderkey"), (li.select("l_orderkey"), "l_orderkey"))
+    customers, buyers = C.dealt(o, (c.select("c_custkey"), "c_custkey"), (o.select("o_custkey"), "o_custkey"))
     rows = C.all_violations(
-        C.violation(lines, "orphan_line", key, F.col("o_orderkey").isNull()),
-        C.violation(lines, "shipped_before_order", key, F.col("o_orderkey").isNotNull() & (F.col("l_shipdate") < F.col("o_orderdate"))),
-        C.violation(o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"), "order_without_lines", F.col("o_orderkey"), F.lit(True)),
-        C.violation(c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "customer_without_orders", F.col("c_custkey"), F.lit(True)),
+        told.withColumn("detail", F.lit("")),
+        C.violation(orders.join(met, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"), "order_without_lines", F.col("o_orderkey"), F.lit(True)),
+        C.violation(customers.join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "customer_without_orders", F.col("c_custkey"), F.lit(True)),
     )
     return rows.select("rule", "key")
 

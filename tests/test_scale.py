@@ -13,10 +13,11 @@ from pyspark.sql.types import LongType
 
 from siftspark.functions import batches
 from siftspark.functions.text import evidence_tokens
+from siftspark.operators import corpus as C
 from siftspark.operators import evidence as E
 from siftspark.operators import metrics as M
 from siftspark.operators import retrieval as R
-from siftspark.plans import evaluation, packets, tables
+from siftspark.plans import corpus, evaluation, packets, tables
 
 
 def parts(df):
@@ -169,3 +170,14 @@ def test_results_of_a_batch_come_in_parts(monkeypatch):
     got = list(batches.parts(texts, pd.Series(range(6))))
     assert [list(n) for _, n in got] == [[0, 1, 2], [3, 4, 5]] and len(list(batches.parts(texts[:0]))) == 1
     assert [x for t, _ in got for x in t] == list(texts)
+
+
+def test_integrity_joins_are_dealt_by_counted_rows(spark, sf_dir, monkeypatch):
+    """A task of the joins gets a stated number of lines, whatever the table's size; a line is joined once for both rules."""
+    monkeypatch.setattr(C, "ROWS_A_TASK", 100)
+    df = corpus.j06_integrity(spark, sf_dir)
+    lines = tables.read(spark, sf_dir, "lineitem").count()
+    plan = parts(df)
+    assert "hashpartitioning(l_orderkey" in plan and f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan
+    monkeypatch.undo()
+    assert sorted(df.collect()) == sorted(corpus.j06_integrity(spark, sf_dir).collect())
